@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +27,8 @@ from .core import pick
 NONE = -1
 #: Distinct whitespace-delimited chunks whose ids one worker keeps at a time.
 CACHE = 300_000
+#: Distinct pieces of the pattern, likewise.
+PIECES = 1_000_000
 
 
 class Vocabulary:
@@ -36,10 +39,18 @@ class Vocabulary:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for word, rank in ranks.items():
             self.bytes_of[rank] = word
-        self.text_of = [str(i) for i in range(len(self.bytes_of))]
-        self.longest = max(map(len, ranks), default=0)
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
+        self.text_of = [str(i) for i in range(len(self.bytes_of))]
+        self.longest = max(map(len, ranks), default=0)
+        # byte -> (token or NONE, the same for the byte after it)
+        self.trie: dict[int, tuple] = {}
+        for word, rank in sorted(ranks.items(), key=lambda x: -len(x[0])):
+            if self.made(rank):
+                node = self.trie
+                for byte in word[:-1]:
+                    node = node.setdefault(byte, (NONE, {}))[1]
+                node[word[-1]] = (rank, node.get(word[-1], (NONE, {}))[1])
 
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
@@ -119,10 +130,28 @@ class PrefixEncoder:
         raise ValueError(f"no token ends at byte {end}: the vocabulary lacks a byte")
 
     def append(self, more: bytes) -> None:
-        first = len(self.data) + 1
-        self.data += more
-        for end in range(first, len(self.data) + 1):
-            self.last.append(self._entry(end))
+        """Adds bytes; the entries there are stay as they are. From each place the
+        trie of tokens is followed as far as the bytes lead into it."""
+        v, last, old = self.v, self.last, len(self.data)
+        self.data = data = self.data + more
+        last += [NONE] * len(more)
+        known, root = v._fits.get, v.trie
+        for start in range(max(0, old + 1 - v.longest), len(data)):
+            left, end, node = last[start], start, root
+            for byte in data[start : start + v.longest]:
+                found = node.get(byte)
+                if found is None:
+                    break
+                end += 1
+                token, node = found
+                if token >= 0 and last[end] < 0 and end > old:
+                    fits = True if start == 0 else known((left, token))
+                    if fits is None:
+                        fits = v.fits(left, token)
+                    if fits:
+                        last[end] = token
+        if NONE in last[1:]:
+            raise ValueError("the vocabulary lacks a byte")
 
     def replace(self, start: int, stop: int, new: bytes) -> None:
         """Puts ``new`` in place of bytes start..stop. Entries before the edit
@@ -160,24 +189,32 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.v, self.pattern = vocabulary, regex.compile(pattern)
         self.wide = "<u2" if len(vocabulary.bytes_of) <= 1 << 16 else "<u4"
+        self.unit = "H" if self.wide == "<u2" else "I"
         self.kept: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> bytes:
-        out: list[int] = []
-        for piece in self.pattern.findall(text):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= CACHE:
+        found = self.pattern.findall(text)
+        try:
+            return b"".join(map(self.pieces.__getitem__, found))
+        except KeyError:
+            return b"".join(map(self._piece, found))
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            data = piece.encode("utf-8")
+            # tiktoken gives a piece that is a token that token, merged or not
+            whole = self.v.ranks.get(data)
+            ids = self._packed([whole] if whole is not None else PrefixEncoder(self.v, data).ids())
+            if len(data) <= 64:
+                if len(self.pieces) >= PIECES:
                     self.pieces.clear()
-                data = piece.encode("utf-8")
-                whole = self.v.ranks.get(data)
-                # tiktoken gives a piece that is a token that token, merged or not
-                ids = [whole] if whole is not None else PrefixEncoder(self.v, data).ids()
-                if len(data) <= 64:
-                    self.pieces[piece] = ids
-            out += ids
-        return np.array(out, self.wide).tobytes()
+                self.pieces[piece] = ids
+        return ids
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.unit}", *ids)
 
     def encode(self, text: str) -> np.ndarray:
         if SPACED.search(text):
