@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, tokenfile, warc
-from .core import table
+from . import bpe, langid, sharding, tokenfile, warc
+from .core import key_crc, table
 
 #: Appended to each document by op1.
 END_ID = 2
@@ -21,17 +22,30 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages")))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, docs = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(docs, path), path)
+    return found.select("doc_id", (key_crc(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_warc": op3_warc,
+    "op4_langid": op4_langid,
     "op9_bpe": op9_bpe,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc.ORACLE,
+    "op10_sharding": sharding.ORACLE,
 }
