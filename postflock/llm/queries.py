@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, sharding, tokenfile, warc
+from . import bpe, decontam, langid, sharding, tokenfile, warc
 from .core import key_crc, table
 
 #: Appended to each document by op1.
@@ -28,6 +28,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (key_crc(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -41,11 +45,13 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_warc": op3_warc,
     "op4_langid": op4_langid,
+    "op5_decontam": op5_decontam,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc.ORACLE,
+    "op5_decontam": decontam.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
