@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, sharding, tokenfile, warc
+from . import bpe, decontam, jaccard, langid, sharding, tokenfile, warc
 from .core import key_crc, table
 
 #: Appended to each document by op1.
@@ -32,6 +32,10 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_langid": op4_langid,
     "op5_decontam": op5_decontam,
+    "op8_jaccard": op8_jaccard,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
 }
