@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, langid, sharding, tokenfile, warc
+from . import bpe, decontam, htmltext, jaccard, langid, sharding, tokenfile, warc
 from .core import key_crc, table
 
 #: Appended to each document by op1.
@@ -18,6 +18,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_files(tokenfile.write_corpus(table(spark, sf_dir, "documents"), path, END_ID))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages")))
 
@@ -47,6 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_html": op2_html,
     "op3_warc": op3_warc,
     "op4_langid": op4_langid,
     "op5_decontam": op5_decontam,
