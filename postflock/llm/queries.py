@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, jaccard, langid, lm, sharding, tokenfile, warc
+from . import bpe, decontam, htmltext, jaccard, langid, lattice, lm, sharding, tokenfile, warc
 from .core import key_crc, table
 
 #: Appended to each document by op1.
@@ -36,6 +36,10 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_corpus(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_langid": op4_langid,
     "op5_decontam": op5_decontam,
+    "op6_lattice": op6_lattice,
     "op7_lm": op7_lm,
     "op8_jaccard": op8_jaccard,
     "op9_bpe": op9_bpe,
