@@ -29,6 +29,17 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{columns.index(old)}_").alias(new) for new, old in names.items()])
 
 
+def without(docs: DataFrame, gone: DataFrame, key: str, text: str, small: int) -> DataFrame:
+    """``docs``, all columns, without the rows of ``gone``, which has the key and
+    rid = xxhash64(key, text) of each; rows of one key with other texts stay."""
+    names = [f"c{i}_" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    at = [rows[names[docs.columns.index(x)]] for x in (key, text)]
+    gone, _ = broadcast_if_small(stage(gone.select(F.col("key").alias("gone_key"), F.col("rid").alias("gone_rid")).distinct(), "gone"), small)
+    kept = rows.join(gone, (F.xxhash64(at[0].cast("bigint"), at[1]) == gone["gone_rid"]) & at[0].eqNullSafe(gone["gone_key"]), "left_anti")
+    return kept.toDF(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

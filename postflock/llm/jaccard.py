@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .core import broadcast_if_small, partitions, pick, stage
+from .core import broadcast_if_small, partitions, pick, stage, without
 
 #: Similarity NUM / DEN.
 NUM, DEN = 9, 10
@@ -39,6 +39,8 @@ SMALL = 300_000
 #: Node of a row without key; keys must be less.
 NO_KEY = 1 << 62
 CACHE = 500_000
+#: Cells over which a set's elements are counted, for a bound on what two share.
+CELLS = 256
 
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _known: dict[bytes, int] = {}
@@ -119,26 +121,28 @@ def boundary(sizes: dict[int, int]) -> int:
     return min(range(MOST_SMALL + 1), key=lambda b: (cost(b), b))
 
 
-SKETCH = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.list_(pa.int64()))])
+SKETCH = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.list_(pa.int64())), ("cells", pa.binary())])
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """key, n, two digests of the set, and somewhat more of its first elements by
-    hash than lists need."""
+    """key, rid, n, two digests of the set, somewhat more of its first elements by hash
+    than lists need, and how many elements fall into each cell (no cells if a
+    number might not fit)."""
 
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                n, d1, d2, first = [], [], [], []
+                n, d1, d2, first, cells = [], [], [], [], []
                 for value in batch.column(1):
                     s = shingles(value.as_py())
                     n.append(len(s))
                     d1.append(int(mix(s * B).sum().view(np.int64)) if len(s) else 0)
                     d2.append(int(mix(s * C).sum().view(np.int64)) if len(s) else 0)
                     first.append(s[: listed(len(s)) * 13 // 10 + 8 if len(s) > MOST_SMALL else len(s)].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(first, pa.list_(pa.int64()))], schema=SKETCH)
+                    cells.append(np.bincount((s >> np.uint64(17)) % np.uint64(CELLS), minlength=CELLS).astype("<u2").tobytes() if len(s) < 1 << 16 else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(cells, pa.binary())], schema=SKETCH)
 
-    return docs.mapInArrow(run, "key bigint, n bigint, d1 bigint, d2 bigint, first array<bigint>")
+    return docs.mapInArrow(run, "key bigint, rid bigint, n bigint, d1 bigint, d2 bigint, first array<bigint>, cells binary")
 
 
 POSTINGS = "b bigint, id bigint, n int, pos int, kind int"
@@ -219,6 +223,25 @@ def fits(n1: str, p1: str, n2: str, p2: str) -> F.Column:
     return size & (room * (NUM + DEN) >= (F.col(n1) + F.col(n2)) * NUM)
 
 
+def may_be_similar(pairs: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
+    """``pairs`` (a, b, ...) without those that cannot be similar: in each cell two
+    sets share at most the lesser of their numbers there."""
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("cells").alias(f"c{x}"), F.col("n").alias(f"n{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *more, "ca", "cb", "na", "nb")
+
+    def run(batches):
+        for batch in batches:
+            at = len(more) + 2
+            known = np.array([x.is_valid and y.is_valid for x, y in zip(batch.column(at), batch.column(at + 1))], bool)
+            x, y = (np.frombuffer(b"".join(v.as_py() for v, k in zip(batch.column(at + i), known) if k), "<u2").reshape(-1, CELLS) for i in (0, 1))
+            most = np.full(len(known), 1 << 40, np.int64)
+            most[known] = np.minimum(x, y).sum(1, dtype=np.int64)
+            total = batch.column(at + 2).to_numpy() + batch.column(at + 3).to_numpy()
+            yield batch.select(["a", "b", *more]).filter(pa.array(most * (NUM + DEN) >= NUM * total))
+
+    return both.mapInArrow(run, ", ".join(f"`{x}` {t}" for x, t in both.dtypes[: len(more) + 2]))
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``pairs`` (a, b), staged -> those whose whole sets are similar."""
     nodes = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "nodes")
@@ -246,19 +269,12 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return stage(both.mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
-def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: key, n_shingles, component_id (the least key
-    that links between similar sets reach, itself included).
-
-    Null and empty texts, and those of white space alone, have no shingle and no
-    links. Rows with equal sets are one set from the start. A row without key
-    links like any other, but its key is no component's name: a group of such
-    rows alone has a null component_id. Rows of one key with other texts are
-    joined. Keys are integers below 2**62. An empty table gives no row.
-    """
+def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, rid (of key and text), n, node: the least node of the row's component,
+    null for a row without shingles."""
     spark = docs.sparkSession
     rows = pick(docs, key=key, text=text).select(F.col("key").cast("bigint").alias("key"), "text")
-    made = stage(sketch(rows), "sketches")
+    made = stage(sketch(rows.withColumn("rid", F.xxhash64("key", "text"))), "sketches")
     # a row without key gets a node that no key has; its text is found by it
     unkeyed = made.where("key IS NULL AND n > 0").limit(1).count() > 0
     node = F.coalesce("key", F.col("d1").bitwiseAND(F.lit(NO_KEY - 1)).bitwiseOR(F.lit(NO_KEY)))
@@ -266,7 +282,7 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     texts = rows.where("key IS NOT NULL")
     if unkeyed:
         texts = texts.unionByName(_node_texts(rows.where("key IS NULL")))
-    classes = stage(own.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("node").alias("id"), F.first("first").alias("first")), "classes")
+    classes = stage(own.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("node").alias("id"), F.first("first").alias("first"), F.first("cells").alias("cells")), "classes")
     sizes = {r.n: r["count"] for r in classes.where(F.col("n") <= 2 * MOST_SMALL).groupBy("n").count().collect()}
     small = boundary(sizes)
     listed_in = classes.where(F.col("n") * DEN >= NUM * (small + 1)).select(F.explode("first").alias("b"))
@@ -282,7 +298,8 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     hubs = stage(other.groupBy("b", "kind").agg(*pivot).where("size > 1"), "hubs")
     hubs, _ = broadcast_if_small(hubs, SMALL)
     lists = stage(light.unionByName(other.join(hubs, ["b", "kind"]).select(light.columns)).select("b", "id", "n", "pos", "kind", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")), "lists")
-    near = lists.where((F.col("id") != F.col("pid")) & fits("n", "pos", "pn", "ppos")).groupBy("id", "pid").agg(F.count(F.lit(1)).alias("shared"))
+    near = lists.where((F.col("id") != F.col("pid")) & fits("n", "pos", "pn", "ppos")).groupBy(F.col("id").alias("a"), F.col("pid").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    near = may_be_similar(near, classes, "shared").select(F.col("a").alias("id"), F.col("b").alias("pid"), "shared")
     # of a set's pivots the one with which it shares the most lists
     best = near.groupBy("id").agg(F.max_by("pid", F.struct("shared", -F.col("pid"))).alias("pid"))
     pairs = stage(best.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct(), "pairs")
@@ -298,16 +315,47 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     left = members.select("b", "kind", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
     cross = left.join(members, (left["b"] == members["b"]) & (left["kind"] == members["kind"]) & (F.col("x") < F.col("id")) & (F.col("cx") != F.col("c")) & fits("nx", "px", "n", "pos"))
     cross = cross.select(F.col("x").alias("a"), F.col("id").alias("b")).distinct()
-    cross = stage(cross.join(checked, ["a", "b"], "left_anti"), "pairs")
+    cross = stage(may_be_similar(cross.join(checked, ["a", "b"], "left_anti"), classes), "pairs")
     if not cross.isEmpty():
         found = components(links.unionByName(verify(cross, texts)))
     named, _ = broadcast_if_small(found.withColumnRenamed("id", "of"), SMALL)
     placed = classes.join(named, F.col("id") == F.col("of"), "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
-    return (
-        made.drop("first")
-        .join(placed, ["n", "d1", "d2"], "left")
-        .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("component") < NO_KEY, F.col("component")).when(F.col("component").isNull(), F.col("key")).alias("component_id"))
-    )
+    return made.drop("first", "cells").join(placed, ["n", "d1", "d2"], "left").select("key", "rid", "n", F.col("component").alias("node"))
+
+
+def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of ``docs``: key, n_shingles, component_id (the least key
+    that links between similar sets reach, itself included).
+
+    Null and empty texts, and those of white space alone, have no shingle and no
+    links. Rows with equal sets are one set from the start. A row without key
+    links like any other, but its key is no component's name: a group of such
+    rows alone has a null component_id. Rows of one key with other texts are
+    joined. Keys are integers below 2**62. An empty table gives no row.
+    """
+    name = F.when(F.col("node") < NO_KEY, F.col("node")).when(F.col("node").isNull(), F.col("key"))
+    return _grouped(docs, key, text).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), name.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, all columns, with one row of each group of similar ones: that of
+    the least key (of equal keys, of the least hash of the text; rows without key
+    come last). Of rows that are repeated one stays. Rows without shingles stay."""
+    rows = stage(_grouped(docs, key, text).where("node IS NOT NULL"), "groups")
+    first = rows.groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("f"))
+    first = first.select(F.col("f.key").alias("k"), F.col("f.rid").alias("r"))
+    same = (F.col("rid") == F.col("r")) & F.col("key").eqNullSafe(F.col("k"))
+    kept = without(docs, rows.join(first, same, "left_anti"), key, text, SMALL)
+    again = stage(rows.join(first, same, "left_semi").groupBy("key", "rid").count().where("count > 1").select("key", "rid"), "repeated")
+    if again.isEmpty():
+        return kept
+    # repeated rows: taken out, and one of each put back
+    names = [f"c{i}_" for i in range(len(docs.columns))]
+    plain = kept.toDF(*names)
+    k, t = (names[docs.columns.index(x)] for x in (key, text))
+    on = (F.xxhash64(F.col(k).cast("bigint"), F.col(t)) == F.col("rid")) & F.col(k).eqNullSafe(F.col("key"))
+    one = plain.join(again, on, "left_semi").dropDuplicates([k, t])
+    return plain.join(again, on, "left_anti").unionByName(one).toDF(*docs.columns)
 
 
 def _node_texts(rows: DataFrame) -> DataFrame:
