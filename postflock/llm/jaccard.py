@@ -31,7 +31,8 @@ from .core import broadcast_if_small, partitions, pick, stage, without
 #: Similarity NUM / DEN.
 NUM, DEN = 9, 10
 WORDS = 3
-#: Lists of so many sets count as long, and at most this many of the longest.
+#: Lists of so many sets count as long, and at most this many of the longest in
+#: each of two searches.
 LONG_LIST, LONG_LISTS = 40, 100_000
 #: The largest boundary that is tried, and rows of a list against one of a subset.
 MOST_SMALL, LIST_COST = 24, 3
@@ -184,8 +185,39 @@ def _rows(found: list[tuple[int, int, list]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["b", "id", "n", "pos", "kind"])
 
 
+def long_lists(classes: DataFrame, docs: DataFrame, small: int) -> np.ndarray:
+    """Elements that stand in very many sets, at most LONG_LISTS: first of the
+    sets' first elements, then, for sets of which so many are long that others
+    take their place, of all elements. Any choice gives right results."""
+    large = classes.where(F.col("n") * DEN >= NUM * (small + 1))
+
+    def longest(elements: DataFrame) -> np.ndarray:
+        rows = elements.groupBy("b").count().where(F.col("count") >= LONG_LIST).orderBy(F.desc("count"), "b").limit(LONG_LISTS).collect()
+        return np.array([r.b for r in rows], np.int64).view(np.uint64)
+
+    heavy = np.sort(longest(large.select(F.explode("first").alias("b"))))
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def lacking(batches):
+        for batch in batches:
+            short = [key for key, n, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)) if post(n, first.values.to_numpy(zero_copy_only=False).view(np.uint64), shared.value, 0) is None]
+            yield pa.RecordBatch.from_arrays([pa.array(short, pa.int64())], names=["id"])
+
+    def elements(batches):
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for value in batch.column(0):
+                    yield pa.RecordBatch.from_arrays([pa.array(shingles(value.as_py()).view(np.int64))], names=["b"])
+
+    if not len(heavy):
+        return heavy
+    short, _ = broadcast_if_small(stage(large.select("id", "n", "first").mapInArrow(lacking, "id bigint"), "short"), SMALL)
+    more = longest(docs.join(short, docs["key"] == short["id"], "left_semi").select("text").mapInArrow(elements, "b bigint"))
+    return np.unique(np.concatenate([heavy, more[: LONG_LISTS]]))
+
+
 def postings(reps: DataFrame, docs: DataFrame, heavy: np.ndarray, small: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most LONG_LISTS
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most 2 LONG_LISTS
 
     def from_first(batches):
         with np.errstate(over="ignore"):
@@ -285,9 +317,7 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     classes = stage(own.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("node").alias("id"), F.first("first").alias("first"), F.first("cells").alias("cells")), "classes")
     sizes = {r.n: r["count"] for r in classes.where(F.col("n") <= 2 * MOST_SMALL).groupBy("n").count().collect()}
     small = boundary(sizes)
-    listed_in = classes.where(F.col("n") * DEN >= NUM * (small + 1)).select(F.explode("first").alias("b"))
-    longest = listed_in.groupBy("b").count().where(F.col("count") >= LONG_LIST).orderBy(F.desc("count"), "b").limit(LONG_LISTS)
-    heavy = np.sort(np.array([r.b for r in longest.collect()], np.int64).view(np.uint64))
+    heavy = long_lists(classes, texts, small)
     posts = postings(classes, texts, heavy, small)
 
     # lists of more than one set, each with a pivot
