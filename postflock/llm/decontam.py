@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import broadcast_if_small, pick, stage
+from .core import broadcast_if_small, pick, stage, without
 
 WINDOW = 13
 GRAM = 6
@@ -79,17 +79,9 @@ def word_hashes(text: Column) -> Column:
     return F.transform(split_words(folded(text)), lambda x: F.xxhash64(x))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: key, n_words, n_hit (words inside any
-    occurrence of an item's window), n_items, items_sha256 (of their ids, sorted
-    as strings, joined by commas), contaminated.
-
-    A null text has no words and an item without words no window. Repeated rows
-    of ``docs`` each get their row; rows of one key with other texts are judged
-    by their own. Repeated items count once; a null item id is named by the empty
-    string. Either table may be empty.
-    """
-    rows = pick(docs, key=key, text=text).withColumn("rid", F.xxhash64("key", "text"))
+def _judge(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
+    """key, rid (of key and text), and the columns of ``contamination``."""
+    rows = pick(docs, key=key, text=text).withColumn("key", F.col("key").cast("bigint")).withColumn("rid", F.xxhash64("key", "text"))
     counted = rows.select("key", "rid", F.coalesce(F.size(split_words(folded(F.col("text")))), F.lit(0)).cast("bigint").alias("n_words"))
 
     items = pick(benchmark, item=item, text=item_text).where(F.col("text").isNotNull()).select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -103,7 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
 
     tests = [items.where(F.col("length") == n).select(F.explode(prints_of(n)).alias("fp")) for n in lengths]
     if not tests:
-        return _finish(counted, None, None, key)
+        return _finish(counted, None, None)
     prints, _ = broadcast_if_small(stage(reduce(DataFrame.unionByName, tests).distinct(), "prints"), SMALL_BENCH)
     windows = items.select("item", "length", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("length")), lambda s: F.array_join(F.slice("w", s + 1, F.col("length")), " "))).alias("window")).distinct()
     windows = stage(windows, "windows")
@@ -134,18 +126,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     hits = seen.join(known.select(*on).distinct(), on, "left_semi")
     hits = hits.groupBy("rid", "key").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1))))).cast("bigint").alias("n_hit"))
     named = seen.select("rid", "key", *on).distinct().join(known, on).groupBy("rid", "key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return _finish(counted, hits, named, key)
+    return _finish(counted, hits, named)
 
 
-def _finish(counted: DataFrame, hits: DataFrame | None, named: DataFrame | None, key: str) -> DataFrame:
+def _finish(counted: DataFrame, hits: DataFrame | None, named: DataFrame | None) -> DataFrame:
     if hits is None:
         out = counted.withColumns({"n_hit": F.lit(0).cast("bigint"), "items": F.array().cast("array<string>")})
     else:
         same = lambda a, b: (a["rid"] == b["rid"]) & a["key"].eqNullSafe(b["key"])
         both = hits.join(named, same(hits, named)).select(hits["rid"], hits["key"], "n_hit", "items")
         both, _ = broadcast_if_small(stage(both, "hits"), SMALL_DOCS)
-        out = counted.join(both, same(counted, both), "left").select(counted["key"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out.select(F.col("key").alias(key), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words"))).alias("contaminated"))
+        out = counted.join(both, same(counted, both), "left").select(counted["key"], counted["rid"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select("key", "rid", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words"))).alias("contaminated"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """A row for each row of ``docs``: key, n_words, n_hit (words inside any
+    occurrence of an item's window), n_items, items_sha256 (of their ids, sorted
+    as strings, joined by commas), contaminated.
+
+    A null text has no words and an item without words no window. Repeated rows
+    of ``docs`` each get their row; rows of one key with other texts are judged
+    by their own. Repeated items count once; a null item id is named by the empty
+    string. Either table may be empty.
+    """
+    return _judge(docs, benchmark, key, text, item, item_text).drop("rid").withColumnRenamed("key", key)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs``, all columns, without the contaminated rows."""
+    gone = _judge(docs, benchmark, key, text, item, item_text).where("contaminated")
+    return without(docs, gone, key, text, SMALL_BENCH)
 
 
 ORACLE = rf"""

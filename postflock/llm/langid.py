@@ -261,3 +261,16 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: s
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=names)
 
     return rows.mapInArrow(run, schema)
+
+
+def accept(docs: DataFrame, vocabulary: str, *, least: float = 0.5, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """``docs``, all columns, without the rows that have no letter or whose best
+    language is less probable than ``least``. The model is learnt from ``docs``;
+    if no row has a language, only rows without letters go."""
+    model = learn(docs, vocabulary, key=key, text=text, lang=lang, held_out=None)
+    names = [f"c{i}_" for i in range(len(docs.columns))]
+    rows, at = docs.toDF(*names), names[docs.columns.index(text)]
+    if not model[0]:
+        return rows.where(F.col(at).rlike(r"\p{L}")).toDF(*docs.columns)
+    found = identify(rows, model, vocabulary, text=at, keep=True)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names).toDF(*docs.columns)
