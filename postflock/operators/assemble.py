@@ -7,21 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
+
 
 def sort_features(features: DataFrame) -> DataFrame:
     return features.orderBy("user_name")
 
 
 def local_ids(users: DataFrame) -> DataFrame:
-    """(user_name, local_id): places 0, 1, ... in the order of names, found without
-    bringing all users to one task: ranges are counted, and each adds the counts
-    before it."""
-    ranged = users.select("user_name").distinct().repartitionByRange("user_name").sortWithinPartitions("user_name").withColumn("part", F.spark_partition_id())
-    inside = ranged.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("user_name")))
-    sizes = inside.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    # one row for each partition
+    """(user_name, local_id): places 0, 1, ... in the order of names. Users are
+    dealt into ranges of names and written, so that a name's range is settled; each
+    range adds what the ranges before it hold."""
+    n = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(users.select("user_name").distinct().repartitionByRange(n, "user_name").withColumn("part", F.spark_partition_id()), "users")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("user_name"))
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    # one row for each range
     before = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return inside.join(before, "part").select("user_name", (F.col("place") - 1 + F.col("before")).cast("bigint").alias("local_id"))
+    return ranged.withColumn("place", place).join(before, "part").select("user_name", (F.col("place") - 1 + F.col("before")).cast("bigint").alias("local_id"))
 
 
 def complete(users: DataFrame, features: DataFrame) -> DataFrame:
