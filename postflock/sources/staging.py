@@ -54,12 +54,24 @@ def release() -> None:
 atexit.register(release)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: While a table is written, so many rows of long texts are held at a time.
+LONG_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.columnarReaderBatchSize": "1024"}
+
+
+def stage(df: DataFrame, name: str, long_rows: bool = True) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut there,
-    and the loss of an executor loses nothing of it. ``staged_path`` names it."""
+    and the loss of an executor loses nothing of it. ``staged_path`` names it.
+    Rows pass to Python in small batches unless ``long_rows`` is off."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = {k: spark.conf.get(k) for k in LONG_ROWS}
+    try:
+        for k, v in LONG_ROWS.items() if long_rows else ():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
