@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
+import contextlib
+import ctypes
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+from ..sources.staging import delete, new_folder, stage
+
+__all__ = ["broadcast_if_small", "delete", "key_crc", "most_frequent", "new_folder", "once_per_worker", "partitions", "pick", "stage", "table", "without"]
 
 
 def pick(df: DataFrame, **names: str) -> DataFrame:
@@ -44,56 +44,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the setting is absent, as in local tests, a temporary folder of
-    this machine is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="postflock-")
-        atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/") if "://" in found else "file://" + os.path.abspath(found)
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, deleted by ``release`` or at exit."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+_own: dict = {}
 
 
-def release() -> None:
-    """Deletes all that ``stage`` and ``new_folder`` made; results read from it end."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            delete(spark, path)
-        except Exception:  # the session has ended: its folder stays
-            if path.startswith("file://"):
-                shutil.rmtree(path[7:], ignore_errors=True)
-
-
-atexit.register(release)
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage is cut there,
-    and the loss of an executor loses nothing of it. ``staged_path`` names it."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
+def once_per_worker(name, make):
+    """What a worker process keeps from task to task for the operator at work,
+    made when first asked for. Only one thing is kept: a worker that goes on to
+    another operator drops what the one before it needed."""
+    if name not in _own:
+        _own.clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+        _own[name] = make()
+    return _own[name]
 
 
 def key_crc(key: Column, modulus: int) -> Column:
@@ -105,6 +69,21 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows of the highest counts, ``most`` at most: all from some count on.
+    That count is found from a histogram of the counts' twelve leading bits, so
+    that no task or driver sorts, or is sent, more than what is returned."""
+    beyond = f"greatest(0, length(bin({column})) - 12)"
+    step = F.expr(f"shiftleft(shiftright({column}, {beyond}), {beyond})")
+    least, total = None, 0
+    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += row["count"]
+        if total > most:
+            break
+        least = row.step
+    return counts.where(F.lit(False)) if least is None else counts.where(F.col(column) >= least)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     """A broadcast hint for a staged table of at most ``rows`` rows, else none."""
     small = df.limit(rows + 1).count() <= rows

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .core import broadcast_if_small, partitions, pick, stage, without
+from .core import broadcast_if_small, most_frequent, once_per_worker, partitions, pick, stage, without
 
 #: Similarity NUM / DEN.
 NUM, DEN = 9, 10
@@ -39,12 +39,11 @@ MOST_SMALL, LIST_COST = 24, 3
 SMALL = 300_000
 #: Node of a row without key; keys must be less.
 NO_KEY = 1 << 62
-CACHE = 500_000
+CACHE = 200_000
 #: Cells over which a set's elements are counted, for a bound on what two share.
 CELLS = 256
 
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_known: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,17 +61,18 @@ def shingles(text: str | None) -> np.ndarray:
     found = text.encode().lower().split() if text else []
     if not found:
         return np.zeros(0, np.uint64)
+    known = once_per_worker("shingles", dict)
     try:
-        hashes = list(map(_known.__getitem__, found))
+        hashes = list(map(known.__getitem__, found))
     except KeyError:
-        if len(_known) > CACHE:
-            _known.clear()
-        for word in set(found).difference(_known):
-            _known[word] = xxhash.xxh3_64_intdigest(word)
-        hashes = list(map(_known.__getitem__, found))
+        if len(known) > CACHE:
+            known.clear()
+        for word in set(found).difference(known):
+            known[word] = xxhash.xxh3_64_intdigest(word)
+        hashes = list(map(known.__getitem__, found))
     h = np.array(hashes, np.uint64)
     n = min(WORDS, len(h))
-    out = np.full(len(h) - n + 1, A * np.uint64(n), np.uint64)
+    out = np.full(len(h) - n + 1, n, np.uint64) * A
     for j in range(n):
         out = mix(turn(out, 23) * A + h[j : len(h) - n + 1 + j])
     return np.unique(out)
@@ -192,7 +192,8 @@ def long_lists(classes: DataFrame, docs: DataFrame, small: int) -> np.ndarray:
     large = classes.where(F.col("n") * DEN >= NUM * (small + 1))
 
     def longest(elements: DataFrame) -> np.ndarray:
-        rows = elements.groupBy("b").count().where(F.col("count") >= LONG_LIST).orderBy(F.desc("count"), "b").limit(LONG_LISTS).collect()
+        counts = stage(elements.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LONG_LIST), "long")
+        rows = most_frequent(counts, "c", LONG_LISTS).collect()
         return np.array([r.b for r in rows], np.int64).view(np.uint64)
 
     heavy = np.sort(longest(large.select(F.explode("first").alias("b"))))
@@ -213,7 +214,7 @@ def long_lists(classes: DataFrame, docs: DataFrame, small: int) -> np.ndarray:
         return heavy
     short, _ = broadcast_if_small(stage(large.select("id", "n", "first").mapInArrow(lacking, "id bigint"), "short"), SMALL)
     more = longest(docs.join(short, docs["key"] == short["id"], "left_semi").select("text").mapInArrow(elements, "b bigint"))
-    return np.unique(np.concatenate([heavy, more[: LONG_LISTS]]))
+    return np.unique(np.concatenate([heavy, more]))
 
 
 def postings(reps: DataFrame, docs: DataFrame, heavy: np.ndarray, small: int) -> DataFrame:
@@ -399,3 +400,15 @@ def _node_texts(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(1)], names=["key", "text"])
 
     return rows.mapInArrow(run, "key bigint, text string")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 3) - 1], ' ') AS x FROM d, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (x) JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+      WHERE 100 * least(na.n, nb.n) >= 90 * greatest(na.n, nb.n) GROUP BY 1, 2, na.n, nb.n HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
+"""

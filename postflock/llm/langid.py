@@ -11,6 +11,7 @@ forward and backward sums.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary
-from .core import key_crc, pick
+from .core import key_crc, once_per_worker, pick, without
 
 #: Documents of each language that the model is fitted on, at most; those with
 #: the least hash of their key.
@@ -30,8 +31,12 @@ SMOOTH = 0.02
 #: Words of more bytes are summed one by one, with rescaling.
 LONG = 48
 #: Distinct words whose probabilities a worker keeps.
-CACHE = 600_000
+CACHE = 300_000
+#: Words whose lattices are built at a time.
+STEP = 5_000
 UNKNOWN = "und"
+#: More rejected documents than this are not broadcast.
+SMALL = 300_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -59,7 +64,7 @@ class Lattice:
     """All pieces in each of many words: edges (word, start, end, piece)."""
 
     def __init__(self, trie: dict, words: list[bytes]):
-        word_of, starts, ends, piece = [], [], [], []
+        word_of, starts, ends, piece = (array("i") for _ in range(4))
         for w, data in enumerate(words):
             for start in range(len(data)):
                 node, end = trie, start
@@ -75,7 +80,7 @@ class Lattice:
                         ends.append(end)
                         piece.append(token)
         self.n, self.length = len(words), np.array([len(x) for x in words], np.int64)
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (word_of, starts, ends, piece))
+        self.word, self.start, self.end, self.piece = (np.array(x, np.int32) for x in (word_of, starts, ends, piece))
 
     def _sums(self, p: np.ndarray, at: np.ndarray, come: np.ndarray, first: np.ndarray, places) -> np.ndarray:
         """Adds up paths place by place: the edges with ``at`` == place, each with
@@ -134,7 +139,7 @@ def fit(counts: list[tuple[str, str, int]], languages: list[str], vocabulary: st
     rows = [x for x in rows if len(x[1]) <= LONG]
     language, weight = np.array([x[0] for x in rows], np.int64), np.array([x[2] for x in rows], float)
     p = np.full((len(languages), size), 1 / size)
-    step = 20_000
+    step = STEP
     lattices = [Lattice(trie, [x[1] for x in rows[at : at + step]]) for at in range(0, len(rows), step)]
     for turn in range(rounds + 1):
         expected = np.zeros_like(p)
@@ -147,7 +152,7 @@ def fit(counts: list[tuple[str, str, int]], languages: list[str], vocabulary: st
                 a, b = lattice.forward(p), lattice.backward(p)
                 total = a[lattice.length, np.arange(lattice.n), of]
                 share = a[lattice.start, lattice.word, edge] * p[edge, lattice.piece] * b[lattice.end, lattice.word, edge] * (n / np.maximum(total, 1e-300))[lattice.word]
-            expected += np.bincount(edge * size + lattice.piece, share, len(languages) * size).reshape(expected.shape)
+            expected += np.bincount(edge.astype(np.int64) * size + lattice.piece, share, len(languages) * size).reshape(expected.shape)
         p = (expected + SMOOTH) / (expected.sum(1, keepdims=True) + SMOOTH * size)
     return p
 
@@ -166,8 +171,8 @@ class Scorer:
         data = [(" " + x).encode() for x in words]
         short = [i for i, x in enumerate(data) if len(x) <= LONG]
         logs = np.empty((len(words), len(self.languages)))
-        for at in range(0, len(short), 20_000):
-            some = short[at : at + 20_000]
+        for at in range(0, len(short), STEP):
+            some = short[at : at + STEP]
             logs[some] = np.log(np.maximum(Lattice(self.trie, [data[i] for i in some]).totals(self.p), 1e-300))
         for i, x in enumerate(data):
             if len(x) > LONG:
@@ -224,41 +229,32 @@ def learn(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str =
     return languages, fit([tuple(r) for r in counts.collect()], languages, vocabulary, rounds)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str, *, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """A row for each row of ``docs``: key, lang_pred, score (the posterior of the
-    predicted language under equal priors, 0 to 1). With ``keep`` all columns of
-    ``docs`` come first and lang_pred, score after them (then their names must be
-    free). A text that is null or has no letter, and any text if no language was
-    learnt, gets ``und`` and 0. Texts count whole, whatever their length."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str, *, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each row of ``docs``: key, the columns ``also``, lang_pred, score
+    (the posterior of the predicted language under equal priors, 0 to 1). A text
+    that is null or has no letter, and any text if no language was learnt, gets
+    ``und`` and 0. Texts count whole, whatever their length."""
     languages, p = model
-    name = f"{hash((tuple(languages), p.tobytes()))}"
+    name = f"langid {hash((tuple(languages), p.tobytes()))}"
     shared = docs.sparkSession.sparkContext.broadcast((languages, p.astype(np.float32)))
-    rows = docs if keep else pick(docs, **{"key": key, "text": text}).withColumnRenamed("key", key)
-    at = rows.columns.index(text if keep else "text")
-    fields = [f for i, f in enumerate(rows.schema.fields) if keep or i != at]
+    rows = pick(docs, text_=text, **{x: x for x in (key, *also)})
+    fields = rows.schema.fields[1:]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
     names = [f.name for f in fields] + ["lang_pred", "score"]
 
     def run(batches):
-        if name not in _scorers:
-            _scorers.clear()
-            learnt, values = shared.value
-            _scorers[name] = Scorer(learnt, values.astype(float), vocabulary)
-        scorer = _scorers[name]
+        learnt, values = shared.value
+        scorer = once_per_worker(name, lambda: Scorer(learnt, values.astype(float), vocabulary))
         for batch in batches:
             found, waiting, size = [], [], 0
-            for value in batch.column(at):
+            for value in batch.column(0):
                 waiting.append(value.as_py())
                 size += len(waiting[-1] or "")
                 if size > 4_000_000:
                     found += scorer.score(waiting)
                     waiting, size = [], 0
             found += scorer.score(waiting)
-            columns = [x for i, x in enumerate(batch.columns) if keep or i != at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -268,9 +264,8 @@ def accept(docs: DataFrame, vocabulary: str, *, least: float = 0.5, text: str =
     language is less probable than ``least``. The model is learnt from ``docs``;
     if no row has a language, only rows without letters go."""
     model = learn(docs, vocabulary, key=key, text=text, lang=lang, held_out=None)
-    names = [f"c{i}_" for i in range(len(docs.columns))]
-    rows, at = docs.toDF(*names), names[docs.columns.index(text)]
-    if not model[0]:
-        return rows.where(F.col(at).rlike(r"\p{L}")).toDF(*docs.columns)
-    found = identify(rows, model, vocabulary, text=at, keep=True)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names).toDF(*docs.columns)
+    rows = pick(docs, key=key, text=text).withColumn("key", F.col("key").cast("bigint")).withColumn("rid", F.xxhash64("key", "text"))
+    found = identify(rows, model, vocabulary, key="key", also=("rid",))
+    # texts themselves do not pass through Python again: what goes is few
+    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)) if model[0] else rows.where(~F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)))
+    return without(docs, gone, key, text, SMALL)
