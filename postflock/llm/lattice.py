@@ -243,3 +243,15 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
         component.alias("component_id"),
         F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"),
     )
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v
+      WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) >= 0.95),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY 1)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.b AS component_id, c.b = v.vec_id AS kept FROM v LEFT JOIN n ON n.a = v.vec_id JOIN c ON c.a = v.vec_id
+"""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import key_crc, pick, stage
+from .core import key_crc, most_frequent, pick, stage
 
 #: Words with a class of their own, classes of other words by their ending.
 FREQUENT, ENDINGS = 768, 255
@@ -173,7 +173,7 @@ def learn(docs: DataFrame, texts: int) -> tuple[Model, DataFrame]:
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # the end is a token like a word, one for each text
     total, distinct = sums[0] + texts, sums[1] + int(texts > 0)
-    top = [(bytes(r.word), r.c) for r in counts.where("c > 1").orderBy(F.desc("c"), "word").limit(COMMON).collect()]
+    top = sorted(((bytes(r.word), r.c) for r in most_frequent(counts, "c", COMMON).collect()), key=lambda x: (-x[1], x[0]))
     classes = Classes([w for w, _ in top[:FREQUENT]])
     pairs = count_pairs(docs, classes).orderBy("h", "w").toArrow()
     net = NoiseContrastive(classes.size, WIDTH)

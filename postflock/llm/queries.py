@@ -73,5 +73,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc.ORACLE,
     "op5_decontam": decontam.ORACLE,
+    "op6_lattice": lattice.ORACLE,
+    "op8_jaccard": jaccard.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
