@@ -66,21 +66,21 @@ class Code:
         """The bits of one block and the bit offset of each STRIDE-th token."""
         if not len(ids):
             return b"", np.zeros(0, np.uint32)
-        size = self.lengths[ids].astype(np.int64)
+        size = self.lengths[ids]
         if not size.all():
             raise ValueError("an id has no code word")
-        word = self.words[ids]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int64)
         start = ends - size
-        total = int(ends[-1])
-        out = np.zeros((total + 63) // 64 + 1, np.uint64)
-        cell, shift = start >> 6, 64 - (start & 63) - size
-        over = shift < 0
-        high = np.where(over, word >> np.maximum(-shift, 0).astype(np.uint64), word << np.maximum(shift, 0).astype(np.uint64))
+        # a word lies in a frame of two 32-bit cells; frames of one cell are added
+        # up, as their words have no bit in common
+        cell = start >> 5
+        framed = self.words[ids] << (64 - (start & 31) - size).astype(np.uint64)
         firsts = np.flatnonzero(np.diff(cell, prepend=-1))
-        out[cell[firsts]] = np.add.reduceat(high, firsts)
-        out[cell[over] + 1] += word[over] << (64 + shift[over]).astype(np.uint64)
-        return out.astype(">u8").tobytes()[: (total + 7) // 8], start[::STRIDE].astype(np.uint32)
+        sums = np.add.reduceat(framed, firsts)
+        out = np.zeros(int(cell[-1]) + 2, np.uint32)
+        out[cell[firsts]] = (sums >> np.uint64(32)).astype(np.uint32)
+        out[cell[firsts] + 1] |= sums.astype(np.uint32)
+        return out.astype(">u4").tobytes()[: (int(ends[-1]) + 7) // 8], start[::STRIDE].astype(np.uint32)
 
     def decode(self, bits: np.ndarray, points: np.ndarray, steps: int) -> np.ndarray:
         """``steps`` tokens from each bit offset of ``points``: an array (points, steps).

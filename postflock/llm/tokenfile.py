@@ -17,27 +17,32 @@ import os
 import re
 import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .core import delete, new_folder, partitions, pick, stage
+from .core import delete, new_folder, once_per_worker, partitions, pick, stage
 from .huffman import BLOCK, LIMIT, STRIDE, Code, code_lengths
 
 MAGIC = b"PFTOK1\0\0"
 #: A file is closed when it holds this many tokens.
 FILE_TOKENS = 1 << 24
-#: Whitespace-delimited chunks whose ids one worker keeps.
-CACHE = 1_000_000
-#: Characters of text encoded at a time.
-SLICE = 4_000_000
+#: Whitespace-delimited chunks whose ids one worker keeps; when there are more,
+#: those seen last stay, up to as many again.
+CACHE = 700_000
+#: Bytes of text encoded at a time.
+SLICE = 24_000_000
 
-SPACED = re.compile(r" (?:\s|[\x1c-\x1f\x85]|$)")
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,:;!?]*)").fullmatch
+#: A space before white space of any kind, or at the end.
+SPACED = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
+#: Stands before the first chunk of a text; texts that have it are encoded whole.
+FIRST = "\x00"
 
 
 class Library:
@@ -51,25 +56,34 @@ class Library:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.size = self.model.get_vocab_size()
         self.wide = "<u2" if self.size <= 1 << 16 else "<u4"
+        # the same model for words that are known to be one piece each: their bytes
+        # are written in the model's characters here, and it cuts at spaces only
+        self.words = Tokenizer.from_file(path)
+        self.words.encode_special_tokens = True
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b and b != 173]
+        rest = [b for b in range(256) if b not in set(shown)]
+        self.drawn = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.spaced = np.zeros(self.size, bool)  # tokens whose first byte is a space
         for token, i in self.model.get_vocab().items():
             self.spaced[i] = token.startswith("\u0120")
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
+    def _runs(self, chunks: list[str], encode) -> list[bytes]:
         """Ids of each chunk with a space before it. They are encoded in long
         runs: a chunk has its only space in front, so that exactly the first
         token of each begins with one."""
         out = []
         for at in range(0, len(chunks), 20_000):
             run = chunks[at : at + 20_000]
-            ids = np.array(self.model.encode_batch_fast([" " + " ".join(run)], add_special_tokens=False)[0].ids, self.wide)
+            ids = np.array(encode(run), self.wide)
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) != len(run):
                 out += self._encode([" " + x for x in run])
@@ -79,74 +93,146 @@ class Library:
             out += [data[a:b] for a, b in zip((step * starts).tolist(), ends)]
         return out
 
+    def _any_run(self, run: list[str]) -> list[int]:
+        return self.model.encode_batch_fast([" " + " ".join(run)], add_special_tokens=False)[0].ids
+
+    def _word_run(self, run: list[str]) -> list[int]:
+        # of ASCII letters only the space in front is drawn as another character
+        drawn = " ".join(["\u0120" + x if x.isascii() else (" " + x).encode().decode("latin-1").translate(self.drawn) for x in run])
+        return self.words.encode_batch_fast([drawn], add_special_tokens=False)[0].ids
+
+    def _learn(self, new: list[str]) -> None:
+        """A word with stops after it is two pieces; others are left to the library."""
+        kept, older, tailed, words, others = self.kept, self.older, [], [], []
+        for chunk in new:
+            if chunk.isascii() and chunk.isalpha():
+                words.append(chunk)
+                continue
+            found = PLAIN(chunk)
+            if not found:
+                others.append(chunk)
+            elif found[2]:
+                tailed.append(found)
+            else:
+                words.append(chunk)
+        stems = {x[1] for x in tailed if x[1] not in kept}
+        again = {x for x in stems if x in older}
+        kept.update(zip(again, map(older.__getitem__, again)))
+        words += stems.difference(again, words)
+        kept.update(zip(words, self._runs(words, self._word_run)))
+        tails = {x[2] for x in tailed}
+        tails = dict(zip(tails, self._encode(list(tails))))
+        for found in tailed:
+            kept[found[0]] = kept[found[1]] + tails[found[2]]
+        kept.update(zip(others, self._runs(others, self._any_run)))
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.wide).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text. The chunks of all texts are numbered, the distinct
+        ones looked up or encoded, and their ids copied to where they occur."""
+        whole = pc.or_(pc.match_substring_regex(texts, SPACED), pc.match_substring(texts, FIRST)).to_numpy(zero_copy_only=False)
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, x in enumerate(texts) if SPACED.search(x)]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
+        odd = np.flatnonzero(whole)
+        for i, ids in zip(odd, self._encode(texts.take(pa.array(odd)).to_pylist())):
             out[i] = ids
-        cut = [(i, *texts[i].split(" ", 1)) for i in range(len(texts)) if out[i] is None]
+        plain = np.flatnonzero(~whole)
+        # the first chunk, which has no space before it, is marked
+        cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(""), texts.take(pa.array(plain)), FIRST), " ")
+        numbered = cut.values.dictionary_encode()
+        chunks = numbered.dictionary.to_pylist()
         if len(self.kept) > CACHE:
-            self.kept.clear()
-        kept, chunks = self.kept, [rest[0].split(" ") if rest else [] for _, _, *rest in cut]
-        new = list({x for row in chunks for x in row if x not in kept})
-        kept.update(zip(new, self._chunks(new)))
-        firsts = self._encode([first for _, first, *_ in cut])
-        for (i, *_), first, row in zip(cut, firsts, chunks):
-            out[i] = first + b"".join(map(kept.__getitem__, row))
+            self.kept, self.older = {}, self.kept
+        found = list(map(self.kept.get, chunks))
+        new, firsts = [], []
+        for i, ids in enumerate(found):
+            if ids is None:
+                chunk = chunks[i]
+                ids = found[i] = self.older.get(chunk)
+                if ids is not None:
+                    self.kept[chunk] = ids
+                elif chunk[:1] == FIRST:
+                    firsts.append(i)
+                else:
+                    new.append(i)
+        for i, ids in zip(firsts, self._encode([chunks[i][1:] for i in firsts])):
+            found[i] = ids
+        self._learn([chunks[i] for i in new])
+        for i in new:
+            found[i] = self.kept[chunks[i]]
+        step = np.dtype(self.wide).itemsize
+        size = np.fromiter(map(len, found), np.int64, len(found)) // step
+        ids, start = np.frombuffer(b"".join(found), self.wide), np.cumsum(size) - size
+        at = numbered.indices.to_numpy()
+        ends = np.cumsum(size[at])
+        copied = np.empty(ends[-1] if len(ends) else 0, self.wide)
+        for low in range(0, len(at), 1 << 20):  # bounded index arrays
+            part = at[low : low + (1 << 20)]
+            first, until = ends[low] - size[at[low]], ends[min(low + (1 << 20), len(at)) - 1]
+            copied[first:until] = ids[np.repeat(start[part] - ends[low : low + (1 << 20)] + size[part], size[part]) + np.arange(first, until)]
+        last = np.concatenate([[0], ends])[cut.offsets.to_numpy()]
+        data = copied.tobytes()
+        for i, begin, end in zip(plain.tolist(), (step * last[:-1]).tolist(), (step * last[1:]).tolist()):
+            out[i] = data[begin:end]
         return out
 
 
-@lru_cache(maxsize=2)
 def library(path: str) -> Library:
-    return Library(path)
+    return once_per_worker(("library", path), lambda: Library(path))
 
 
-def _slices(column):
-    """A column's texts, null as empty, in runs of about SLICE characters."""
-    run, size = [], 0
-    for value in column:
-        text = value.as_py() or ""
-        run.append(text)
-        size += len(text)
-        if size >= SLICE:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+def _slices(column: pa.Array):
+    """A column's texts, null as empty, in runs of about SLICE bytes."""
+    column = pc.fill_null(column, "")
+    before = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(), dtype=np.int64)])
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(before, before[at] + SLICE, "right")) - 1)
+        yield column.slice(at, end - at)
+        at = end
 
 
 def encode_ids(docs: DataFrame, tokenizer: str, end_id: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and ids (binary: 16-bit ids where the vocabulary allows, else 32-bit),
-    ``end_id`` last. A null text is as an empty one: the end id alone."""
+    ``end_id`` last. A null text is as an empty one: the end id alone. One more
+    row a task has null ids and, in ``counts``, how often each id came in it."""
     source = pick(docs, key=key, text=text).withColumn("key", F.col("key").cast("bigint"))
 
     def run(batches):
         coder = library(tokenizer)
         end = np.array([end_id], coder.wide).tobytes()
+        total = np.zeros(coder.size, np.int64)
+
+        def rows(keys, ids, counts):
+            return pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["key", "ids", "counts"])
+
         for batch in batches:
-            ids = [x + end for texts in _slices(batch.column(1)) for x in coder.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+            ids = []
+            for texts in _slices(batch.column(1)):
+                found = [x + end for x in coder.encode(texts)]
+                total += np.bincount(np.frombuffer(b"".join(found), coder.wide), minlength=coder.size)
+                ids += found
+            yield rows(batch.column(0), ids, [None] * len(ids))
+        yield rows(pa.array([None], pa.int64()), [None], [total.astype("<i8").tobytes()])
 
-    return source.mapInArrow(run, "key bigint, ids binary")
+    return source.mapInArrow(run, "key bigint, ids binary, counts binary")
 
 
-def count_ids(encoded: DataFrame, size: int, wide: str) -> np.ndarray:
-    """How often each id occurs in all rows. Each task adds up an array of the
-    vocabulary's size; the driver gets one row for each id that occurs."""
+def count_ids(encoded: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in all rows, from the tasks' counts. They are
+    added up in Spark; the driver gets a row for each id that occurs."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                total += np.bincount(np.frombuffer(value.as_py(), wide), minlength=size)
+                total += np.frombuffer(value.as_py(), "<i8")
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there])], names=["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for row in encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in encoded.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[row.id] = row.n
     return out
 
@@ -207,7 +293,7 @@ def write_files(encoded: DataFrame, code: Code, wide: str, folder: str, file_tok
     lengths = code.lengths.tobytes()
     spark = encoded.sparkSession
     n = partitions(spark)
-    ranged = encoded.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n, F.asc_nulls_first("key"), "tie").sortWithinPartitions(F.asc_nulls_first("key"), "tie", "ids").select("key", "ids")
+    ranged = encoded.where("counts IS NULL").select("key", "ids").withColumn("tie", F.xxhash64("ids")).repartitionByRange(n, F.asc_nulls_first("key"), "tie").sortWithinPartitions(F.asc_nulls_first("key"), "tie", "ids").select("key", "ids")
     files.make_folder(folder)
 
     def run(batches):
@@ -278,8 +364,8 @@ def write_corpus(docs: DataFrame, tokenizer: str, end_id: int, *, key: str = "do
     """
     spark = docs.sparkSession
     coder = library(tokenizer)
-    encoded = stage(encode_ids(docs, tokenizer, end_id, key=key, text=text), "ids")
-    code = Code(code_lengths(count_ids(encoded, coder.size, coder.wide), max(limit, (coder.size - 1).bit_length())))
+    encoded = stage(encode_ids(docs, tokenizer, end_id, key=key, text=text), "ids", long_rows=False)
+    code = Code(code_lengths(count_ids(encoded, coder.size), max(limit, (coder.size - 1).bit_length())))
     manifest = write_files(encoded, code, coder.wide, new_folder(spark, "tokens"), file_tokens)
     delete(spark, encoded.staged_path)
     return manifest
