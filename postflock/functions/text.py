@@ -25,15 +25,22 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, BREAKS), lambda x: x != "")
 
 
+# The functions below may be given the text's tokens, if several of them are used.
+
+
+def _given(text: Column, t: Column | None) -> Column:
+    return tokens(text) if t is None else t
+
+
 def _count(items: Column) -> Column:
     return F.size(items).cast("bigint")
 
 
-def count_words(text: Column) -> Column:
-    return _count(tokens(text))
+def count_words(text: Column, t: Column | None = None) -> Column:
+    return _count(_given(text, t))
 
 
-def count_chars(text: Column) -> Column:
+def count_chars(text: Column, t: Column | None = None) -> Column:
     """Length in UTF-16 units, white space included."""
     return F.floor(F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
 
@@ -42,8 +49,8 @@ def is_hashtag(token: Column) -> Column:
     return F.startswith(token, F.lit("#")) & (F.length(token) > 1)
 
 
-def count_hashtags(text: Column) -> Column:
-    return _count(F.filter(tokens(text), is_hashtag))
+def count_hashtags(text: Column, t: Column | None = None) -> Column:
+    return _count(F.filter(_given(text, t), is_hashtag))
 
 
 def is_url(token: Column) -> Column:
@@ -54,20 +61,20 @@ def is_url(token: Column) -> Column:
     return found
 
 
-def count_urls(text: Column) -> Column:
-    return _count(F.filter(tokens(text), is_url))
+def count_urls(text: Column, t: Column | None = None) -> Column:
+    return _count(F.filter(_given(text, t), is_url))
 
 
 def is_marker(token: Column) -> Column:
     return token.isin(*MARKERS)
 
 
-def is_retweet(text: Column) -> Column:
-    return F.exists(tokens(text), is_marker)
+def is_retweet(text: Column, t: Column | None = None) -> Column:
+    return F.exists(_given(text, t), is_marker)
 
 
-def is_original(text: Column) -> Column:
-    return ~is_retweet(text)
+def is_original(text: Column, t: Column | None = None) -> Column:
+    return ~is_retweet(text, t)
 
 
 def is_mention(token: Column) -> Column:
@@ -89,14 +96,15 @@ def _before_marker(found: Column) -> Column:
     return F.when(first.isNull(), found).otherwise(F.slice(found, F.lit(1), (first - 1).cast("int")))
 
 
-def mentioned_users(text: Column) -> Column:
+def mentioned_users(text: Column, t: Column | None = None) -> Column:
     """Names, in lower case, of mentions before the first retweet marker; repeated
     and empty ones stay."""
-    return let(tokens(text), lambda t: F.transform(F.filter(_before_marker(t), is_mention), user_of))
+    names = lambda found: F.transform(F.filter(_before_marker(found), is_mention), user_of)
+    return let(tokens(text), names) if t is None else names(t)
 
 
-def count_mentions(text: Column) -> Column:
-    return _count(mentioned_users(text))
+def count_mentions(text: Column, t: Column | None = None) -> Column:
+    return _count(mentioned_users(text, t))
 
 
 def retweeted_user(text: Column) -> Column:

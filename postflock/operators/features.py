@@ -43,9 +43,10 @@ def text_features(posts: DataFrame, *names: str) -> DataFrame:
     words and characters the population variance; count and ratio of retweets and
     of original posts. One scan and one aggregate for all of them."""
     chosen = list(names or [*COUNTS, *FLAGS])
-    values = [COUNTS[x][0](F.col("text")).alias(x) if x in COUNTS else FLAGS[x](F.col("text")).alias(x) for x in chosen]
+    cut = posts.select("user_name", "text", T.tokens(F.col("text")).alias("t"))
+    values = [(COUNTS[x][0] if x in COUNTS else FLAGS[x])(F.col("text"), F.col("t")).alias(x) for x in chosen]
     sums, out = _measures(chosen)
-    return posts.select("user_name", *values).groupBy("user_name").agg(F.count(F.lit(1)).alias("n"), *sums).select("user_name", *out)
+    return cut.select("user_name", *values).groupBy("user_name").agg(F.count(F.lit(1)).alias("n"), *sums).select("user_name", *out)
 
 
 def retweet_counts(posts: DataFrame, users: DataFrame) -> DataFrame:
