@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import murmur32_of, murmur64_of
 from ..functions.stem import porter_stem, stem
 from ..operators import assemble, clean, cluster, dataset, features, graph
+from ..sources.staging import stage
 from . import fixtures as X
 
 LEAST_CF, LEAST_POSTS = 5, 60
@@ -94,11 +95,12 @@ def _wide(spark, sf_dir):
     p, u = X.posts(spark, sf_dir), X.users(spark, sf_dir)
     tables = [features.text_features(p)]
     for kind in ("mention", "retweet"):
-        e = graph.edges(p, kind)
-        links = graph.link_stats(e, u)
+        # written once each, as several tables below come from them
+        e = stage(graph.edges(p, kind), "edges")
+        links = stage(graph.link_stats(e, u), "links")
         near = graph.neighbour_stats(e, u, links)
         near = near.select("user_name", *[F.nanvl(c, F.lit(0.0)).alias(c) for c in near.columns[1:]])
-        ego = graph.ego_stats(graph.out_neighbours(e, u))
+        ego = graph.ego_stats(stage(graph.out_neighbours(e, u), "neighbours"))
         tables += [t.select("user_name", *[F.col(c).alias(f"{kind}_{c}") for c in t.columns if c != "user_name"]) for t in (links, near, ego)]
     return assemble.combine(u, *tables)
 
