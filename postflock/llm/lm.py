@@ -158,6 +158,27 @@ def _classes(own: Classes, known: dict[bytes, int], words: list[bytes]) -> np.nd
     return np.array(found, np.int64)
 
 
+def train_table(pairs: DataFrame, size: int) -> np.ndarray:
+    """log10 P(w | h) of all classes, from counted pairs. There are at most size *
+    size of these, and one task trains on them in a fixed order, with the one
+    thread that Spark gives it."""
+
+    def run(batches):
+        data = [np.stack([x.to_numpy() for x in batch.columns], 1) for batch in batches]
+        h, w, n = np.concatenate([np.zeros((0, 3), np.int64), *data]).T
+        net = NoiseContrastive(size, WIDTH)
+        if len(n):
+            net.train(h, w, n.astype(float))
+        rows = (net.log_probabilities() / LN10).astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["h", "row"])
+
+    made = stage(pairs.repartition(1).sortWithinPartitions("h", "w").mapInArrow(run, "h bigint, row binary"), "table")
+    rows = sorted((r.h, bytes(r.row)) for r in made.collect())
+    if not rows:  # nothing to learn from
+        return np.full((size, size), -np.log10(size), np.float32)
+    return np.frombuffer(b"".join(x for _, x in rows), "<f4").reshape(size, size)
+
+
 class Model:
     """What scoring needs and every task holds: bounded by FREQUENT, ENDINGS and COMMON."""
 
@@ -175,12 +196,7 @@ def learn(docs: DataFrame, texts: int) -> tuple[Model, DataFrame]:
     total, distinct = sums[0] + texts, sums[1] + int(texts > 0)
     top = sorted(((bytes(r.word), r.c) for r in most_frequent(counts, "c", COMMON).collect()), key=lambda x: (-x[1], x[0]))
     classes = Classes([w for w, _ in top[:FREQUENT]])
-    pairs = count_pairs(docs, classes).orderBy("h", "w").toArrow()
-    net = NoiseContrastive(classes.size, WIDTH)
-    h, w, n = (pairs.column(i).to_numpy() for i in range(3))
-    if len(n):
-        net.train(h, w, n.astype(float))
-    table = (net.log_probabilities() / LN10).astype(np.float32)
+    table = train_table(count_pairs(docs, classes), classes.size)
     # tokens and words of each class: log10 of what a share is divided by
     endings = _class_sizes(counts, classes)
     share = np.zeros(classes.size)
