@@ -15,27 +15,27 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .core import pick
+from .core import once_per_worker, pick
 
 NONE = -1
-#: Distinct whitespace-delimited chunks whose ids one worker keeps at a time.
-CACHE = 300_000
-#: Distinct pieces of the pattern, likewise.
-PIECES = 1_000_000
+#: How many distinct chunks, pieces of the pattern and pairs of tokens a worker
+#: remembers, and the same where it has other things to hold.
+LIMITS, SMALL_LIMITS = (300_000, 1_000_000, 1_000_000), (200_000, 600_000, 300_000)
+#: Rows passed on at a time.
+ROWS = 500
 
 
 class Vocabulary:
     """Ranks of a tiktoken file: ids are ranks, lower merges first."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], borders: int = LIMITS[2]):
+        self.ranks, self.borders = ranks, borders
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for word, rank in ranks.items():
             self.bytes_of[rank] = word
@@ -53,10 +53,10 @@ class Vocabulary:
                 node[word[-1]] = (rank, node.get(word[-1], (NONE, {}))[1])
 
     @classmethod
-    def load(cls, path: str) -> "Vocabulary":
+    def load(cls, path: str, borders: int = LIMITS[2]) -> "Vocabulary":
         with open(path, "rb") as lines:
             pairs = (line.split() for line in lines if line.strip())
-            return cls({base64.b64decode(word): int(rank) for word, rank in pairs})
+            return cls({base64.b64decode(word): int(rank) for word, rank in pairs}, borders)
 
     def parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for single bytes and
@@ -84,7 +84,7 @@ class Vocabulary:
         has priority over the merges that make them."""
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > self.borders:
                 self._fits.clear()
             known = self._fits[left, right] = self._border_holds(left, right)
         return known
@@ -183,11 +183,12 @@ class Encoder:
 
     A chunk starts at a space after which no white space comes: every piece of
     the pattern ends before such a space, so chunks can be encoded one by one,
-    and the ids of a chunk that comes again are kept (bounded by ``CACHE``).
+    and the ids of a chunk that comes again are kept (bounded by ``LIMITS``).
     """
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, limits: tuple[int, int, int] = LIMITS):
         self.v, self.pattern = vocabulary, regex.compile(pattern)
+        self.most_chunks, self.most_pieces, _ = limits
         self.wide = "<u2" if len(vocabulary.bytes_of) <= 1 << 16 else "<u4"
         self.unit = "H" if self.wide == "<u2" else "I"
         self.kept: dict[str, bytes] = {}
@@ -208,7 +209,7 @@ class Encoder:
             whole = self.v.ranks.get(data)
             ids = self._packed([whole] if whole is not None else PrefixEncoder(self.v, data).ids())
             if len(data) <= 64:
-                if len(self.pieces) >= PIECES:
+                if len(self.pieces) >= self.most_pieces:
                     self.pieces.clear()
                 self.pieces[piece] = ids
         return ids
@@ -230,7 +231,7 @@ class Encoder:
                 ids = kept.get(chunk)
                 if ids is None:
                     ids = self._pieces(" " + chunk)
-                    if len(kept) >= CACHE:
+                    if len(kept) >= self.most_chunks:
                         kept.clear()
                     if len(chunk) <= 64:
                         kept[chunk] = ids
@@ -244,13 +245,11 @@ class Encoder:
 SPACED = regex.compile(r" (?:\s|[\x1c-\x1f\x85]|$)")
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, pattern: str) -> Encoder:
-    """One for each worker process and vocabulary."""
-    return Encoder(Vocabulary.load(path), pattern)
+def encoder(path: str, pattern: str, limits: tuple[int, int, int] = LIMITS) -> Encoder:
+    return once_per_worker(("bpe", path, pattern, limits), lambda: Encoder(Vocabulary.load(path, limits[2]), pattern, limits))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False, limits: tuple[int, int, int] = LIMITS) -> DataFrame:
     """Ids of each text by BPE with the ranks in file ``vocabulary``.
 
     Returns a row for each row of ``docs`` (repeated rows stay): the key,
@@ -258,16 +257,17 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, key: str
     decoded_sha256 of the bytes that decoding these ids gives; with ``with_ids``
     also ids (array of int). A null text is as an empty one: no ids. A null key
     stays null. There is no limit on length: memory follows the longest text.
-    ``vocabulary`` is a path that every executor has.
+    ``vocabulary`` is a path that every executor has; ``limits`` bound what a worker
+    remembers and change no result.
     """
     source = pick(docs, key=key, text=text)
     key_type = source.schema["key"].dataType.simpleString()
     schema = f"`{key}` {key_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches):
-        coder = encoder(vocabulary, pattern)
+        coder = encoder(vocabulary, pattern, limits)
         number = coder.v.text_of
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             n, sha, back, all_ids = [], [], [], []
             for value in batch.column(1):
                 found = coder.encode(value.as_py() or "")
