@@ -7,28 +7,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postflock.llm import bpe, decontam, jaccard, langid
 from postflock.llm.core import stage, table
+from postflock.sources.staging import LONG_ROWS
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def long_texts(spark: SparkSession) -> None:
+    """Has this session pass fewer rows of long texts at a time, to Python too."""
+    for name, value in LONG_ROWS.items():
+        spark.conf.set(name, value)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or of no clear language go."""
+    long_texts(spark)
     return langid.accept(docs, public_tokenizers.path(VOCABULARY))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents one stays."""
+    long_texts(spark)
     return jaccard.keep_one(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by the benchmark go."""
+    long_texts(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document that is left."""
-    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
+    long_texts(spark)
+    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True, limits=bpe.SMALL_LIMITS)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("benchmarks", benchmarks), ("tokens", tokens)]
