@@ -2,7 +2,8 @@
 lists for large ones.
 
 Two sets of sizes s and t with Jaccard similarity of at least 9/10 share at
-least c = ceil(9 (s + t) / 19) elements, thus a subset of size c. Small sets list
+least c = ceil(9 (s + t) / 19) elements, thus a subset of size c. (Numbers here are
+those of op8; shingles' words and the similarity are parameters.) Small sets list
 their subsets of all sizes c that a partner may ask for, and meet on them. Large
 sets meet on inverted lists of single elements; with one order of all elements
 it is enough to list the first s - ceil(9 s / 10) + 1 of each set. Where the
@@ -17,7 +18,10 @@ their pairs, and no pair that might join two components is left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +32,18 @@ from pyspark.sql import functions as F
 from .components import components
 from .core import broadcast_if_small, most_frequent, once_per_worker, partitions, pick, stage, without
 
-#: Similarity NUM / DEN.
-NUM, DEN = 9, 10
-WORDS = 3
+
+
+class Likeness(NamedTuple):
+    """Words of a shingle, and the least similarity num / den."""
+
+    words: int
+    num: int
+    den: int
+
+
+#: What op8's contract asks for.
+OP8 = Likeness(3, 9, 10)
 #: Lists of so many sets count as long, and at most this many of the longest in
 #: each of two searches.
 LONG_LIST, LONG_LISTS = 40, 100_000
@@ -55,8 +68,8 @@ def turn(x: np.ndarray, by: int) -> np.ndarray:
     return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of runs of WORDS words; of fewer words, one
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of runs of so many words; of fewer words, one
     hash of all."""
     found = text.encode().lower().split() if text else []
     if not found:
@@ -71,27 +84,27 @@ def shingles(text: str | None) -> np.ndarray:
             known[word] = xxhash.xxh3_64_intdigest(word)
         hashes = list(map(known.__getitem__, found))
     h = np.array(hashes, np.uint64)
-    n = min(WORDS, len(h))
+    n = min(words, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64) * A
     for j in range(n):
         out = mix(turn(out, 23) * A + h[j : len(h) - n + 1 + j])
     return np.unique(out)
 
 
-def least_overlap(s, t):
+def least_overlap(s, t, like: Likeness = OP8):
     """Elements that sets of these sizes share at least."""
-    return -(-NUM * (s + t) // (NUM + DEN))
+    return -(-like.num * (s + t) // (like.num + like.den))
 
 
-def listed(n):
+def listed(n, like: Likeness):
     """How many first elements of a set of size n stand in lists."""
-    return n - -(-NUM * n // DEN) + 1
+    return n - -(-like.num * n // like.den) + 1
 
 
-def subset_sizes(n: int, boundary: int) -> list[int]:
+def subset_sizes(n: int, boundary: int, like: Likeness) -> list[int]:
     """Sizes of common subsets that partners of at most ``boundary`` ask for."""
-    partners = [t for t in range(1, boundary + 1) if DEN * min(n, t) >= NUM * max(n, t)]
-    return sorted({c for t in partners if (c := least_overlap(n, t)) <= min(n, t)})
+    partners = [t for t in range(1, boundary + 1) if like.den * min(n, t) >= like.num * max(n, t)]
+    return sorted({c for t in partners if (c := least_overlap(n, t, like)) <= min(n, t)})
 
 
 def subsets(sets: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
@@ -111,21 +124,22 @@ def subsets(sets: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
     return out
 
 
-def boundary(sizes: dict[int, int]) -> int:
-    """The boundary of least cost, given how many small sets have which size."""
+def rows_made(sizes: dict[int, int], like: Likeness, b: int) -> int:
+    """The cost of a boundary, given how many small sets have which size."""
+    small = sum(n * comb(s, c) for s, n in sizes.items() if s <= b for c in subset_sizes(s, b, like))
+    lists = sum(LIST_COST * n * listed(s, like) for s, n in sizes.items() if like.den * s >= like.num * (b + 1))
+    return small + lists
 
-    def cost(b: int) -> int:
-        small = sum(n * comb(s, c) for s, n in sizes.items() if s <= b for c in subset_sizes(s, b))
-        lists = sum(LIST_COST * n * listed(s) for s, n in sizes.items() if DEN * s >= NUM * (b + 1))
-        return small + lists
 
+def boundary(cost: Callable[[int], int]) -> int:
+    """The boundary of least cost."""
     return min(range(MOST_SMALL + 1), key=lambda b: (cost(b), b))
 
 
 SKETCH = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.list_(pa.int64())), ("cells", pa.binary())])
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, like: Likeness) -> DataFrame:
     """key, rid, n, two digests of the set, somewhat more of its first elements by hash
     than lists need, and how many elements fall into each cell (no cells if a
     number might not fit)."""
@@ -135,11 +149,11 @@ def sketch(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 n, d1, d2, first, cells = [], [], [], [], []
                 for value in batch.column(1):
-                    s = shingles(value.as_py())
+                    s = shingles(value.as_py(), like.words)
                     n.append(len(s))
                     d1.append(int(mix(s * B).sum().view(np.int64)) if len(s) else 0)
                     d2.append(int(mix(s * C).sum().view(np.int64)) if len(s) else 0)
-                    first.append(s[: listed(len(s)) * 13 // 10 + 8 if len(s) > MOST_SMALL else len(s)].view(np.int64))
+                    first.append(s[: listed(len(s), like) * 13 // 10 + 8 if len(s) > MOST_SMALL else len(s)].view(np.int64))
                     cells.append(np.bincount((s >> np.uint64(17)) % np.uint64(CELLS), minlength=CELLS).astype("<u2").tobytes() if len(s) < 1 << 16 else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(cells, pa.binary())], schema=SKETCH)
 
@@ -149,15 +163,15 @@ def sketch(docs: DataFrame) -> DataFrame:
 POSTINGS = "b bigint, id bigint, n int, pos int, kind int"
 
 
-def post(n: int, element: np.ndarray, heavy: np.ndarray, small: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def post(n: int, element: np.ndarray, heavy: np.ndarray, small: int, like: Likeness) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(buckets, positions, kind) of one set whose first or all elements are given;
     kind 0 are lists, 1 long lists, 2 subsets. None if more elements are needed."""
     out = []
     if n <= small:
-        for x in subsets(element, subset_sizes(n, small)):
+        for x in subsets(element, subset_sizes(n, small, like)):
             out.append((x, np.zeros(len(x), np.int32), 2))
-    if DEN * n >= NUM * (small + 1):
-        want = listed(n)
+    if like.den * n >= like.num * (small + 1):
+        want = listed(n, like)
         at = np.searchsorted(heavy, element)
         is_long = heavy[np.minimum(at, len(heavy) - 1)] == element if len(heavy) else np.zeros(len(element), bool)
         light = element[~is_long]
@@ -185,11 +199,11 @@ def _rows(found: list[tuple[int, int, list]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["b", "id", "n", "pos", "kind"])
 
 
-def long_lists(classes: DataFrame, docs: DataFrame, small: int) -> np.ndarray:
+def long_lists(classes: DataFrame, docs: DataFrame, small: int, like: Likeness) -> np.ndarray:
     """Elements that stand in very many sets, at most LONG_LISTS: first of the
     sets' first elements, then, for sets of which so many are long that others
     take their place, of all elements. Any choice gives right results."""
-    large = classes.where(F.col("n") * DEN >= NUM * (small + 1))
+    large = classes.where(F.col("n") * like.den >= like.num * (small + 1))
 
     def longest(elements: DataFrame) -> np.ndarray:
         counts = stage(elements.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LONG_LIST), "long")
@@ -201,14 +215,14 @@ def long_lists(classes: DataFrame, docs: DataFrame, small: int) -> np.ndarray:
 
     def lacking(batches):
         for batch in batches:
-            short = [key for key, n, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)) if post(n, first.values.to_numpy(zero_copy_only=False).view(np.uint64), shared.value, 0) is None]
+            short = [key for key, n, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)) if post(n, first.values.to_numpy(zero_copy_only=False).view(np.uint64), shared.value, 0, like) is None]
             yield pa.RecordBatch.from_arrays([pa.array(short, pa.int64())], names=["id"])
 
     def elements(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
                 for value in batch.column(0):
-                    yield pa.RecordBatch.from_arrays([pa.array(shingles(value.as_py()).view(np.int64))], names=["b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(shingles(value.as_py(), like.words).view(np.int64))], names=["b"])
 
     if not len(heavy):
         return heavy
@@ -217,7 +231,7 @@ def long_lists(classes: DataFrame, docs: DataFrame, small: int) -> np.ndarray:
     return np.unique(np.concatenate([heavy, more]))
 
 
-def postings(reps: DataFrame, docs: DataFrame, heavy: np.ndarray, small: int) -> DataFrame:
+def postings(reps: DataFrame, docs: DataFrame, heavy: np.ndarray, small: int, like: Likeness) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most 2 LONG_LISTS
 
     def from_first(batches):
@@ -226,7 +240,7 @@ def postings(reps: DataFrame, docs: DataFrame, heavy: np.ndarray, small: int) ->
                 found, more = [], []
                 for key, n, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                     element = first.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    parts = post(n, element, shared.value, small)
+                    parts = post(n, element, shared.value, small, like)
                     if parts is None:
                         more.append((key, n, [(np.zeros(1, np.uint64), np.zeros(1, np.int32), -1)]))
                     else:
@@ -238,8 +252,8 @@ def postings(reps: DataFrame, docs: DataFrame, heavy: np.ndarray, small: int) ->
             for batch in batches:
                 found = []
                 for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    s = shingles(value.as_py())
-                    found.append((key, len(s), post(len(s), s, shared.value, small)))
+                    s = shingles(value.as_py(), like.words)
+                    found.append((key, len(s), post(len(s), s, shared.value, small, like)))
                 yield _rows(found)
 
     made = stage(reps.select("id", "n", "first").mapInArrow(from_first, POSTINGS), "postings")
@@ -248,15 +262,15 @@ def postings(reps: DataFrame, docs: DataFrame, heavy: np.ndarray, small: int) ->
     return made.where("kind >= 0").unionByName(stage(again, "postings"))
 
 
-def fits(n1: str, p1: str, n2: str, p2: str) -> F.Column:
+def fits(n1: str, p1: str, n2: str, p2: str, like: Likeness) -> F.Column:
     """Whether sets with a common element at these places may be similar, if it is
     their first common one."""
-    size = (F.least(n1, n2) * DEN >= F.greatest(n1, n2) * NUM)
+    size = (F.least(n1, n2) * like.den >= F.greatest(n1, n2) * like.num)
     room = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2))
-    return size & (room * (NUM + DEN) >= (F.col(n1) + F.col(n2)) * NUM)
+    return size & (room * (like.num + like.den) >= (F.col(n1) + F.col(n2)) * like.num)
 
 
-def may_be_similar(pairs: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
+def may_be_similar(pairs: DataFrame, classes: DataFrame, like: Likeness, *more: str) -> DataFrame:
     """``pairs`` (a, b, ...) without those that cannot be similar: in each cell two
     sets share at most the lesser of their numbers there."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("cells").alias(f"c{x}"), F.col("n").alias(f"n{x}"))
@@ -270,12 +284,12 @@ def may_be_similar(pairs: DataFrame, classes: DataFrame, *more: str) -> DataFram
             most = np.full(len(known), 1 << 40, np.int64)
             most[known] = np.minimum(x, y).sum(1, dtype=np.int64)
             total = batch.column(at + 2).to_numpy() + batch.column(at + 3).to_numpy()
-            yield batch.select(["a", "b", *more]).filter(pa.array(most * (NUM + DEN) >= NUM * total))
+            yield batch.select(["a", "b", *more]).filter(pa.array(most * (like.num + like.den) >= like.num * total))
 
     return both.mapInArrow(run, ", ".join(f"`{x}` {t}" for x, t in both.dtypes[: len(more) + 2]))
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     """``pairs`` (a, b), staged -> those whose whole sets are similar."""
     nodes = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "nodes")
     nodes, _ = broadcast_if_small(nodes, SMALL)
@@ -283,7 +297,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def whole(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                sets = [shingles(x.as_py()).tobytes() for x in batch.column(1)]
+                sets = [shingles(x.as_py(), like.words).tobytes() for x in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
     sets = stage(docs.join(nodes, docs["key"] == nodes["id"], "left_semi").mapInArrow(whole, "id bigint, s binary"), "sets")
@@ -296,30 +310,30 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 at = np.searchsorted(x, y)
                 common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(common * DEN >= NUM * (len(x) + len(y) - common))
+                keep.append(common * like.den >= like.num * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return stage(both.mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
-def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _grouped(docs: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     """key, rid (of key and text), n, node: the least node of the row's component,
     null for a row without shingles."""
     spark = docs.sparkSession
     rows = pick(docs, key=key, text=text).select(F.col("key").cast("bigint").alias("key"), "text")
-    made = stage(sketch(rows.withColumn("rid", F.xxhash64("key", "text"))), "sketches")
+    made = stage(sketch(rows.withColumn("rid", F.xxhash64("key", "text")), like), "sketches")
     # a row without key gets a node that no key has; its text is found by it
     unkeyed = made.where("key IS NULL AND n > 0").limit(1).count() > 0
     node = F.coalesce("key", F.col("d1").bitwiseAND(F.lit(NO_KEY - 1)).bitwiseOR(F.lit(NO_KEY)))
     own = made.withColumn("node", node)
     texts = rows.where("key IS NOT NULL")
     if unkeyed:
-        texts = texts.unionByName(_node_texts(rows.where("key IS NULL")))
+        texts = texts.unionByName(_node_texts(rows.where("key IS NULL"), like))
     classes = stage(own.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("node").alias("id"), F.first("first").alias("first"), F.first("cells").alias("cells")), "classes")
     sizes = {r.n: r["count"] for r in classes.where(F.col("n") <= 2 * MOST_SMALL).groupBy("n").count().collect()}
-    small = boundary(sizes)
-    heavy = long_lists(classes, texts, small)
-    posts = postings(classes, texts, heavy, small)
+    small = boundary(partial(rows_made, sizes, like))
+    heavy = long_lists(classes, texts, small, like)
+    posts = postings(classes, texts, heavy, small, like)
 
     # lists of more than one set, each with a pivot
     pivot = [F.min(F.struct("pos", "id", "n")).alias("p"), F.count(F.lit(1)).alias("size")]
@@ -329,12 +343,12 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     hubs = stage(other.groupBy("b", "kind").agg(*pivot).where("size > 1"), "hubs")
     hubs, _ = broadcast_if_small(hubs, SMALL)
     lists = stage(light.unionByName(other.join(hubs, ["b", "kind"]).select(light.columns)).select("b", "id", "n", "pos", "kind", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")), "lists")
-    near = lists.where((F.col("id") != F.col("pid")) & fits("n", "pos", "pn", "ppos")).groupBy(F.col("id").alias("a"), F.col("pid").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    near = may_be_similar(near, classes, "shared").select(F.col("a").alias("id"), F.col("b").alias("pid"), "shared")
+    near = lists.where((F.col("id") != F.col("pid")) & fits("n", "pos", "pn", "ppos", like)).groupBy(F.col("id").alias("a"), F.col("pid").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    near = may_be_similar(near, classes, like, "shared").select(F.col("a").alias("id"), F.col("b").alias("pid"), "shared")
     # of a set's pivots the one with which it shares the most lists
     best = near.groupBy("id").agg(F.max_by("pid", F.struct("shared", -F.col("pid"))).alias("pid"))
     pairs = stage(best.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct(), "pairs")
-    links, checked = verify(pairs, texts), pairs
+    links, checked = verify(pairs, texts, like), pairs
     found = components(links)
 
     # pairs from different components of a list
@@ -344,17 +358,17 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     mixed, _ = broadcast_if_small(mixed, SMALL)
     members = inside.join(mixed, ["b", "kind"], "left_semi")
     left = members.select("b", "kind", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
-    cross = left.join(members, (left["b"] == members["b"]) & (left["kind"] == members["kind"]) & (F.col("x") < F.col("id")) & (F.col("cx") != F.col("c")) & fits("nx", "px", "n", "pos"))
+    cross = left.join(members, (left["b"] == members["b"]) & (left["kind"] == members["kind"]) & (F.col("x") < F.col("id")) & (F.col("cx") != F.col("c")) & fits("nx", "px", "n", "pos", like))
     cross = cross.select(F.col("x").alias("a"), F.col("id").alias("b")).distinct()
-    cross = stage(may_be_similar(cross.join(checked, ["a", "b"], "left_anti"), classes), "pairs")
+    cross = stage(may_be_similar(cross.join(checked, ["a", "b"], "left_anti"), classes, like), "pairs")
     if not cross.isEmpty():
-        found = components(links.unionByName(verify(cross, texts)))
+        found = components(links.unionByName(verify(cross, texts, like)))
     named, _ = broadcast_if_small(found.withColumnRenamed("id", "of"), SMALL)
     placed = classes.join(named, F.col("id") == F.col("of"), "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     return made.drop("first", "cells").join(placed, ["n", "d1", "d2"], "left").select("key", "rid", "n", F.col("component").alias("node"))
 
 
-def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", like: Likeness = OP8) -> DataFrame:
     """A row for each row of ``docs``: key, n_shingles, component_id (the least key
     that links between similar sets reach, itself included).
 
@@ -365,14 +379,14 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     joined. Keys are integers below 2**62. An empty table gives no row.
     """
     name = F.when(F.col("node") < NO_KEY, F.col("node")).when(F.col("node").isNull(), F.col("key"))
-    return _grouped(docs, key, text).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), name.alias("component_id"))
+    return _grouped(docs, key, text, like).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), name.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", like: Likeness = OP8) -> DataFrame:
     """``docs``, all columns, with one row of each group of similar ones: that of
     the least key (of equal keys, of the least hash of the text; rows without key
     come last). Of rows that are repeated one stays. Rows without shingles stay."""
-    rows = stage(_grouped(docs, key, text).where("node IS NOT NULL"), "groups")
+    rows = stage(_grouped(docs, key, text, like).where("node IS NOT NULL"), "groups")
     first = rows.groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("f"))
     first = first.select(F.col("f.key").alias("k"), F.col("f.rid").alias("r"))
     same = (F.col("rid") == F.col("r")) & F.col("key").eqNullSafe(F.col("k"))
@@ -389,13 +403,13 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     return plain.join(again, on, "left_anti").unionByName(one).toDF(*docs.columns)
 
 
-def _node_texts(rows: DataFrame) -> DataFrame:
+def _node_texts(rows: DataFrame, like: Likeness) -> DataFrame:
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
                 nodes = []
                 for value in batch.column(1):
-                    s = shingles(value.as_py())
+                    s = shingles(value.as_py(), like.words)
                     nodes.append((int(mix(s * B).sum()) if len(s) else 0) & (NO_KEY - 1) | NO_KEY)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(1)], names=["key", "text"])
 
