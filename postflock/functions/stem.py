@@ -18,8 +18,12 @@ from .text import let
 
 
 def pattern(word: Column) -> Column:
+    """The word's C and V. Only runs of y need to be read letter by letter."""
+    plain = F.translate(word, "aeioubcdfghjklmnpqrstvwxz", "VVVVV" + "C" * 20)
+    plain = F.translate(F.regexp_replace(plain, "Cy", "CV"), "y", "C")
     vowel = lambda seen, ch: ch.isin(*"aeiou") | ((ch == "y") & F.endswith(seen, F.lit("C")))
-    return F.aggregate(F.filter(F.split(word, ""), lambda ch: ch != ""), F.lit(""), lambda seen, ch: F.concat(seen, F.when(vowel(seen, ch), "V").otherwise("C")))
+    slow = F.aggregate(F.filter(F.split(word, ""), lambda ch: ch != ""), F.lit(""), lambda seen, ch: F.concat(seen, F.when(vowel(seen, ch), "V").otherwise("C")))
+    return F.when(F.contains(word, F.lit("yy")), slow).otherwise(plain)
 
 
 def _cut(word: Column, n: int) -> Column:
@@ -71,7 +75,8 @@ def stem(word: Column) -> Column:
             .otherwise(w)
         )
 
-    return F.when(F.length(word) < 3, word).otherwise(let(singular, rest))
+    # most words have none of the endings, and are done with here
+    return F.when((F.length(word) < 3) | ~_ends(word, "s", "ed", "ing"), word).otherwise(let(singular, rest))
 
 
 # Fixed values of Porter's algorithm: endings and what they become, tried in order.

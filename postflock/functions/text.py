@@ -123,21 +123,27 @@ def retweeted_part(text: Column) -> Column:
     """Struct (user, part, letters) of a retweet's original: what follows the last
     marker, the last user named right after one, and the part's first letters a to
     z. Null without user, or if the part is too short."""
-    start = F.struct(F.lit(False).alias("after"), F.array().cast("array<string>").alias("kept"), F.lit(None).cast("string").alias("user"))
+    start = F.struct(F.lit(False).alias("after"), F.lit(0).alias("at"), F.lit(0).alias("begin"), F.lit(None).cast("string").alias("user"))
 
     def step(s: Column, t: Column) -> Column:
+        """The place of the token, that where the part begins, and the user."""
         opens = ~s["after"] & is_marker(t)
         used = s["after"] & (is_mention(t) | is_marker(t))
-        kept = F.when(opens, F.array().cast("array<string>")).when(used, s["kept"]).otherwise(F.concat(s["kept"], F.array(t)))
-        return F.struct(opens.alias("after"), kept.alias("kept"), F.when(s["after"] & is_mention(t), bare_name(t)).otherwise(s["user"]).alias("user"))
+        at = s["at"] + 1
+        begin = F.when(opens | used, at + 1).otherwise(s["begin"])
+        return F.struct(opens.alias("after"), at.alias("at"), begin.alias("begin"), F.when(s["after"] & is_mention(t), bare_name(t)).otherwise(s["user"]).alias("user"))
+
+    def whole(t: Column) -> Column:
+        return let(F.aggregate(t, start, step), lambda s: let(F.struct(s["user"].alias("user"), F.array_join(F.slice(t, s["begin"], F.size(t)), " ").alias("kept")), finish))
 
     def finish(s: Column) -> Column:
-        part = F.regexp_replace(F.array_join(s["kept"], " "), r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+        part = F.regexp_replace(s["kept"], r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
         letters = F.substring(F.regexp_replace(F.lower(part), "[^a-z]", ""), 1, LETTERS)
-        whole = F.struct(F.lower(s["user"]).alias("user"), part.alias("part"), letters.alias("letters"))
-        return F.when((F.length(s["user"]) > 0) & (count_chars(part) >= LEAST_PART), whole)
+        out = F.struct(F.lower(s["user"]).alias("user"), part.alias("part"), letters.alias("letters"))
+        return F.when((F.length(s["user"]) > 0) & (count_chars(part) >= LEAST_PART), out)
 
-    return F.aggregate(tokens(text), start, step, finish)
+    # few texts are retweets; only theirs are read token by token
+    return let(tokens(text), lambda t: F.when(F.exists(t, is_marker), whole(t)))
 
 
 def mentions_user(text: Column, user: Column) -> Column:

@@ -15,7 +15,7 @@ def sort_features(features: DataFrame) -> DataFrame:
 
 
 def local_ids(users: DataFrame) -> DataFrame:
-    """(user_name, local_id): places 0, 1, ... in the order of names. Users are
+    """(user_name, local_id): places 1, 2, ... in the order of names. Users are
     dealt into ranges of names and written, so that a name's range is settled; each
     range adds what the ranges before it hold."""
     n = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -24,7 +24,7 @@ def local_ids(users: DataFrame) -> DataFrame:
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     # one row for each range
     before = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ranged.withColumn("place", place).join(before, "part").select("user_name", (F.col("place") - 1 + F.col("before")).cast("bigint").alias("local_id"))
+    return ranged.withColumn("place", place).join(before, "part").select("user_name", (F.col("place") + F.col("before")).cast("bigint").alias("local_id"))
 
 
 def complete(users: DataFrame, features: DataFrame) -> DataFrame:
@@ -71,15 +71,19 @@ def export_cluster(matrix: DataFrame, users: DataFrame, order: str, names: list[
 
 def export_lda(matrix: DataFrame, users: DataFrame, order: str, names: list[str]) -> DataFrame:
     """(place, line): "1 f1:v ... fn:v # user"."""
-    values = [F.concat(F.lit(f"{i}:"), F.col(c).cast("string")) for i, c in enumerate(names, 1)]
+    values = [F.concat(F.lit(f"f{i}:"), F.col(c).cast("string")) for i, c in enumerate(names, 1)]
     return _listed(matrix, users, order).select(F.col("_at").cast("bigint").alias("place"), F.concat_ws(" ", F.lit("1"), *values, F.lit("#"), "user_name").alias("line"))
 
 
 def export_random(users: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(line): "1 1:r ... n:r # user" with random numbers that depend on the user
-    and the seed alone."""
-    draw = lambda i: F.pmod(F.xxhash64("user_name", F.lit(i), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    values = [F.concat(F.lit(f"{i}:"), draw(i).cast("string")) for i in range(1, n + 1)]
+    """(line): "1 x1:r ... xn:r # user" with random numbers from 0 to 1 that depend
+    on the user and the seed alone: 40 bits of an md5 each."""
+
+    def draw(i: int) -> Column:
+        text = F.concat(F.col("user_name"), F.lit(f"#{i}#{seed}")).cast("binary")
+        return F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("bigint") / float(1 << 40)
+
+    values = [F.concat(F.lit(f"x{i}:"), draw(i).cast("string")) for i in range(1, n + 1)]
     return users.select(F.concat_ws(" ", F.lit("1"), *values, F.lit("#"), "user_name").alias("line"))
 
 

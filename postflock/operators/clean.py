@@ -1,4 +1,8 @@
-"""Cleaning of posts, and the dictionary of terms."""
+"""Cleaning of posts, and the dictionary of terms.
+
+Tokens are cut once. Words are counted or made distinct before they are stemmed, so
+that the stemmer, whose cost is by far the greatest, sees each word of the corpus once.
+"""
 
 from __future__ import annotations
 
@@ -21,57 +25,58 @@ def hashtag(token: Column) -> Column:
     return F.when(F.length(low) > 1, F.when(plain, low).otherwise(cut))
 
 
+def _stems(word: Column) -> Column:
+    """The stem of a word in an array, which is empty if it is too short. Exploded,
+    it is computed once: what is asked of it later is not pushed below."""
+    return F.filter(F.array(stem(word)), lambda s: F.length(s) >= LEAST_LETTERS)
+
+
 def raw_terms(posts: DataFrame) -> DataFrame:
-    """(ts, user_name, pos, tag, word) of the tokens of all posts of enough tokens:
-    the cleaned hashtag, or the letters of a word before stemming."""
-    found = posts.select("ts", "user_name", tokens(F.col("text")).alias("t")).where(F.size("t") >= LEAST_TOKENS)
-    each = found.select("ts", "user_name", F.posexplode("t").alias("pos", "token")).where(~is_mention(F.col("token")))
+    """(ts, user_name, h1, h2, pos, tag, word) of the tokens of all posts of enough
+    tokens: the cleaned hashtag, or the letters of a word before stemming. h1 and h2
+    are 128 bits that stand for the whole post."""
+    whole = [F.xxhash64("ts", "user_name", "text").alias("h1"), F.xxhash64(F.lit("second"), "text", "user_name", "ts").alias("h2")]
+    found = posts.select("ts", "user_name", *whole, tokens(F.col("text")).alias("t")).where(F.size("t") >= LEAST_TOKENS)
+    each = found.select("ts", "user_name", "h1", "h2", F.posexplode("t").alias("pos", "token")).where(~is_mention(F.col("token")))
     tagged = F.startswith("token", F.lit("#"))
     low = F.lower("token")
     word = F.when(~tagged & ~is_url(low), F.regexp_replace(low, "[^a-z]", ""))
-    return each.select("ts", "user_name", "pos", F.when(tagged, hashtag(F.col("token"))).alias("tag"), word.alias("word")).where("tag IS NOT NULL OR length(word) > 0")
-
-
-def _cleaned(text: Column) -> Column:
-    """Cleaned terms of a text in order, null where a token gives none."""
-
-    def term(token: Column) -> Column:
-        low = F.lower(token)
-        word = stem(F.regexp_replace(low, "[^a-z]", ""))
-        return F.when(is_mention(token), F.lit(None)).when(F.startswith(token, F.lit("#")), hashtag(token)).when(is_url(low), F.lit(None)).when(F.length(word) >= LEAST_LETTERS, word)
-
-    found = tokens(text)
-    return F.when(F.size(found) >= LEAST_TOKENS, F.filter(F.transform(found, term), lambda x: x.isNotNull()))
+    return each.select("ts", "user_name", "h1", "h2", "pos", F.when(tagged, hashtag(F.col("token"))).alias("tag"), word.alias("word")).where("tag IS NOT NULL OR length(word) > 0")
 
 
 def clean_posts(posts: DataFrame, terms: DataFrame | None = None, term: str = "term") -> DataFrame:
     """(ts, user_name, text) with each text's cleaned terms joined by spaces: no
     mentions and addresses, words as stemmed letters, hashtags whole. Posts of
     fewer than three tokens, or of which nothing is left, are dropped. With
-    ``terms``, only words among them stay; hashtags always do."""
-    rows = posts.select("ts", "user_name", _cleaned(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    if terms is None:
-        return rows.select("ts", "user_name", F.array_join("terms", " ").alias("text"))
-    # a post's number is made where its terms are one array, and in one place only
-    numbered = rows.withColumn("post", F.monotonically_increasing_id())
-    each = numbered.select("ts", "user_name", "post", F.posexplode("terms").alias("pos", "term"))
-    known = terms.select(F.col(term).alias("known")).distinct()
-    kept = each.join(known, F.col("term") == F.col("known"), "left").where(F.col("known").isNotNull() | F.startswith("term", F.lit("#")))
-    lists = kept.groupBy("post").agg(F.first("ts").alias("ts"), F.first("user_name").alias("user_name"), F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("x"))
-    return lists.select("ts", "user_name", F.array_join(F.transform("x", lambda s: s["term"]), " ").alias("text"))
+    ``terms``, only words among them stay; hashtags always do. Repeated posts
+    each give their row.
+
+    A post is known by its content, not by a number: rows of equal posts meet in
+    one group, and the group's row is repeated as often as they stood there.
+    """
+    raw = raw_terms(posts)
+    stems = raw.where("word IS NOT NULL").select(F.col("word").alias("w")).distinct().select("w", F.explode(_stems(F.col("w"))).alias("s"))
+    if terms is not None:
+        stems = stems.join(terms.select(F.col(term).alias("known")).distinct(), F.col("s") == F.col("known"), "left_semi")
+    # a hashtag is its own key, which no word equals
+    kept = raw.join(stems, F.coalesce("word", "tag") == F.col("w"), "left").select("ts", "user_name", "h1", "h2", "pos", F.coalesce("tag", "s").alias("term")).where("term IS NOT NULL")
+    lists = kept.groupBy("ts", "user_name", "h1", "h2").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("all"))
+    once = lists.select("ts", "user_name", F.array_distinct("all").alias("x"), F.size("all").alias("n"))
+    rows = once.select("ts", "user_name", F.array_join(F.col("x.term"), " ").alias("text"), F.explode(F.sequence(F.lit(1), (F.col("n") / F.size("x")).cast("int"))).alias("copy"))
+    return rows.select("ts", "user_name", "text")
 
 
 def term_counts(posts: DataFrame, stopwords: DataFrame | None = None, term: str = "term") -> DataFrame:
     """(term, cf) of all terms but the words among ``stopwords``, which are stemmed.
-    Each distinct word is stemmed once, after it has been counted."""
+    One scan; each distinct word is stemmed once, after it has been counted."""
     raw = raw_terms(posts)
-    tags = raw.where("tag IS NOT NULL").groupBy(F.col("tag").alias("term")).agg(F.count(F.lit(1)).alias("cf"))
-    words = raw.where("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = words.select(stem(F.col("word")).alias("term"), "n").where(F.length("term") >= LEAST_LETTERS).groupBy("term").agg(F.sum("n").alias("cf"))
+    counted = raw.groupBy("tag", "word").agg(F.count(F.lit(1)).alias("n"))
+    stemmed = counted.select(F.explode(F.when(F.col("tag").isNotNull(), F.array("tag")).otherwise(_stems(F.col("word")))).alias("term"), "n")
+    found = stemmed.groupBy("term").agg(F.sum("n").alias("cf"))
     if stopwords is not None:
-        stop = stopwords.select(F.col(term).alias("stop")).distinct()
-        words = words.join(stop, F.col("term") == F.col("stop"), "left_anti")
-    return words.unionByName(tags)
+        stop = stopwords.select(F.col(term).alias("stop")).where("stop NOT LIKE '#%'").distinct()
+        found = found.join(stop, F.col("term") == F.col("stop"), "left_anti")
+    return found
 
 
 def sort_terms(counts: DataFrame) -> DataFrame:

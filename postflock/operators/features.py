@@ -54,7 +54,7 @@ def retweet_counts(posts: DataFrame, users: DataFrame) -> DataFrame:
     by users in ``users``, by its author, in ``users`` too, and its first letters.
     The sample is the greatest text among them."""
     known = users.select("user_name").distinct()
-    parts = posts.join(known, "user_name", "left_semi").select(T.retweeted_part(F.col("text")).alias("x")).where("x IS NOT NULL").select("x.*")
+    parts = posts.join(known, "user_name", "left_semi").select(F.explode(F.array_compact(F.array(T.retweeted_part(F.col("text"))))).alias("x")).select("x.*")
     groups = parts.groupBy("user", "letters").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("sample"))
     mine = groups.join(known, groups["user"] == known["user_name"], "left_semi")
     return mine.select(F.col("user").alias("user_name"), "letters", murmur64_of("letters").alias("hash"), "n", "sample")

@@ -1,7 +1,9 @@
 """Posts, users, scores and clusters derived from the test tables.
 
-The SQL runs unchanged on both engines; ``{events}`` and ``{documents}`` stand for
-the tables.
+A post is made from every row of ``events`` and from every row of ``documents``, with
+its whole text; what is put before it (retweet markers, mentions, hashtags, addresses)
+follows from the row's number. Nothing is left out. The SQL runs unchanged on both
+engines; ``{events}`` and ``{documents}`` stand for the tables.
 """
 
 from __future__ import annotations
@@ -9,27 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 POSTS = """
-SELECT CAST(e.event_id AS BIGINT) AS ts,
-       concat('u', CAST(e.user_id AS STRING)) AS user_name,
+SELECT ts, concat('u', CAST(uid AS STRING)) AS user_name,
        concat(
-         CASE WHEN e.event_id % 5 = 0 AND e.user_id % 10 = 7 THEN 'RT @u9000: '
-              WHEN e.event_id % 5 = 0 AND e.user_id % 10 <> 6 THEN concat('RT @U', CAST((e.event_id * 7) % 150 AS STRING), ': ')
+         CASE WHEN id % 5 = 0 AND uid % 10 = 7 THEN 'RT @u9000: '
+              WHEN id % 5 = 0 AND uid % 10 <> 6 THEN concat('RT @U', CAST((id * 7) % 150 AS STRING), ': ')
               ELSE '' END,
-         CASE WHEN e.event_id % 15 = 0 THEN concat('RT: @u', CAST((e.event_id * 11) % 150 AS STRING), ' ') ELSE '' END,
-         CASE WHEN e.event_id % 85 = 0 THEN 'RT RT @u1 ' ELSE '' END,
-         CASE WHEN e.event_id % 3 = 0 AND e.user_id % 10 = 8 THEN '@u9000 '
-              WHEN e.event_id % 3 = 0 AND e.user_id % 10 <> 9 THEN concat('@u', CAST((e.event_id * 13) % 200 AS STRING), ': ')
+         CASE WHEN id % 15 = 0 THEN concat('RT: @u', CAST((id * 11) % 150 AS STRING), ' ') ELSE '' END,
+         CASE WHEN id % 85 = 0 THEN 'RT RT @u1 ' ELSE '' END,
+         CASE WHEN id % 3 = 0 AND uid % 10 = 8 THEN '@u9000 '
+              WHEN id % 3 = 0 AND uid % 10 <> 9 THEN concat('@u', CAST((id * 13) % 200 AS STRING), ': ')
               ELSE '' END,
-         CASE WHEN e.event_id % 97 = 0 THEN '@ ' ELSE '' END,
-         CASE WHEN e.event_id % 4 = 0 THEN concat('#', e.event_type, '! ') ELSE '' END,
-         CASE WHEN e.event_id % 6 = 0 THEN 'http://t.co/x '
-              WHEN e.event_id % 7 = 0 THEN 'Example.COM/y site.org ' ELSE '' END,
-         CASE WHEN e.event_id % 11 = 0 THEN 'ok'
-              ELSE replace(replace(substr(d.text, 1, 100), chr(10), ' '), chr(9), ' ') END
+         CASE WHEN id % 97 = 0 THEN '@ ' ELSE '' END,
+         CASE WHEN id % 4 = 0 THEN concat('#', tag, '! ') ELSE '' END,
+         CASE WHEN id % 6 = 0 THEN 'http://t.co/x '
+              WHEN id % 7 = 0 THEN 'Example.COM/y site.org ' ELSE '' END,
+         body
        ) AS text
-FROM {events} e JOIN {documents} d ON d.doc_id = e.event_id % 200
+FROM (SELECT CAST(event_id * 2 AS BIGINT) AS ts, CAST(event_id AS BIGINT) AS id, CAST(user_id AS BIGINT) AS uid, event_type AS tag,
+             CASE WHEN value < 1 THEN 'ok' ELSE concat(event_type, 's were seen ', props) END AS body FROM {events}
+      UNION ALL
+      SELECT CAST(doc_id * 2 + 1 AS BIGINT), CAST(doc_id AS BIGINT), CAST(floor(doc_id / 8) AS BIGINT), coalesce(lang, 'none'),
+             replace(replace(replace(coalesce(text, ''), chr(10), ' '), chr(13), ' '), chr(9), ' ') FROM {documents}) AS source
 """
-USERS = "SELECT DISTINCT concat('u', CAST(user_id AS STRING)) AS user_name FROM {events} WHERE user_id % 4 <> 3"
+#: Users with so many purchases: the dictionary that programs are given.
+USERS = "SELECT concat('u', CAST(user_id AS STRING)) AS user_name FROM {events} GROUP BY user_id HAVING sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) >= 12"
 SCORES = """
 SELECT concat('u', CAST(user_id AS STRING)) AS user_name, CAST(user_id AS BIGINT) AS global_id,
        CAST(count(*) AS BIGINT) AS n_events, CAST(max(value) AS DOUBLE) AS pr
@@ -45,7 +50,10 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def posts(spark, sf_dir):
-    return view(spark, sf_dir, POSTS)
+    """All posts. What Spark reads in fewer tasks than it has cores, as small files
+    in one piece, is dealt out to them."""
+    rows, cores = view(spark, sf_dir, POSTS), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def users(spark, sf_dir):

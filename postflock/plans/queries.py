@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.hashing import murmur32_of, murmur64_of
 from ..functions.stem import porter_stem, stem
 from ..operators import assemble, clean, cluster, dataset, features, graph
-from ..sources.staging import stage
+from .. import jobs
+from ..sources import lines
+from ..sources.staging import new_folder, settled, stage
 from . import fixtures as X
 
-LEAST_CF, LEAST_POSTS = 5, 60
+LEAST_CF, LEAST_POSTS = 5, 75
+#: Users with so many events are listed for export, and have a score.
+LISTED, SCORED = 70, 60
 SELECT, TOTAL, SEED = 3, 10, 7
 USER = " U17 "
-MATRIX = ["word_sum", "char_sum", "hashtag_sum", "retweet_sent_count"]
+MATRIX = ["word_sum", "char_sum", "hashtag_sum", "retweet_sent_count", "word_avg", "url_avg"]
 FLAGGED = ["word_sum", "word_avg", "hashtag_sum"]
 OTHERS = ["char_var", "url_avg", "original_ratio"]
 TOP = 5
@@ -29,10 +33,12 @@ def _terms(spark, sf_dir):
 
 
 def _edges(kind):
-    return lambda spark, sf_dir: graph.edges(X.posts(spark, sf_dir), kind)
+    """Links of a graph, counted and written: texts are read once."""
+    return lambda spark, sf_dir: stage(graph.count_links(graph.edges(X.posts(spark, sf_dir), kind)), "edges")
 
 
 def _neighbours(kind, function):
+    @settled("neighbours")
     def query(spark, sf_dir):
         rows = function(_edges(kind)(spark, sf_dir), X.users(spark, sf_dir))
         return rows.select("user_name", "n", F.array_join("nbrs", " ").alias("nbrs"))
@@ -41,12 +47,15 @@ def _neighbours(kind, function):
 
 
 def _links(kind):
-    return lambda spark, sf_dir: graph.link_stats(_edges(kind)(spark, sf_dir), X.users(spark, sf_dir))
+    return settled("links")(lambda spark, sf_dir: graph.link_stats(_edges(kind)(spark, sf_dir), X.users(spark, sf_dir)))
 
 
 def _near(kind):
+    @settled("near")
     def query(spark, sf_dir):
-        rows = graph.neighbour_stats(_edges(kind)(spark, sf_dir), X.users(spark, sf_dir), _links(kind)(spark, sf_dir))
+        e, u = _edges(kind)(spark, sf_dir), stage(X.users(spark, sf_dir), "users")
+        known = stage(graph.counted_links(e, u), "known")
+        rows = graph.neighbour_stats(e, u, graph.link_stats(e, u, known), known)
         return rows.select("user_name", *[F.nanvl(c, F.lit(0.0)).alias(c) for c in rows.columns[1:]])
 
     return query
@@ -54,7 +63,7 @@ def _near(kind):
 
 def _ego(kind, direction):
     way = graph.out_neighbours if direction == "out" else graph.in_neighbours
-    return lambda spark, sf_dir: graph.ego_stats(way(_edges(kind)(spark, sf_dir), X.users(spark, sf_dir)), direction)
+    return settled("ego")(lambda spark, sf_dir: graph.ego_stats(stage(way(_edges(kind)(spark, sf_dir), X.users(spark, sf_dir)), "adjacency"), direction))
 
 
 def _features(*names):
@@ -62,7 +71,8 @@ def _features(*names):
 
 
 def _completed(spark, sf_dir):
-    own = dataset.posts_of(X.posts(spark, sf_dir), X.users(spark, sf_dir).where("user_name <> 'u8'"))
+    """Features of posts with a doubled marker: some users have none."""
+    own = dataset.posts_of(X.posts(spark, sf_dir), X.users(spark, sf_dir)).where("contains(text, 'RT RT')")
     return assemble.complete(X.users(spark, sf_dir), features.text_features(own))
 
 
@@ -73,7 +83,8 @@ def _matrix(spark, sf_dir):
 
 def _listed(spark, sf_dir):
     """Some users, in an order of their own."""
-    return X.users(spark, sf_dir).select("user_name", F.substring("user_name", 2, 9).cast("int").alias("at")).where("at % 3 = 0")
+    often = X.scores(spark, sf_dir).where(F.col("n_events") >= LISTED).select("user_name", F.col("global_id").alias("at"))
+    return X.users(spark, sf_dir).join(often, "user_name")
 
 
 def _assigned(spark, sf_dir):
@@ -90,21 +101,31 @@ def _ranked(spark, sf_dir):
     return X.scores(spark, sf_dir).join(X.clusters(spark, sf_dir), "user_name")
 
 
+@settled("wide")
 def _wide(spark, sf_dir):
-    """The whole chain: text, links, neighbours and ego networks of each user."""
-    p, u = X.posts(spark, sf_dir), X.users(spark, sf_dir)
+    """The whole chain: text, links, neighbours and ego networks of each user. Posts,
+    users and links are written once each, as several tables come from them."""
+    p, u = stage(X.posts(spark, sf_dir), "posts"), stage(X.users(spark, sf_dir), "users")
     tables = [features.text_features(p)]
     for kind in ("mention", "retweet"):
-        # written once each, as several tables below come from them
-        e = stage(graph.edges(p, kind), "edges")
-        links = stage(graph.link_stats(e, u), "links")
-        near = graph.neighbour_stats(e, u, links)
+        e = stage(graph.count_links(graph.edges(p, kind)), "edges")
+        known = stage(graph.counted_links(e, u), "known")
+        links = stage(graph.link_stats(e, u, known), "links")
+        near = graph.neighbour_stats(e, u, links, known)
         near = near.select("user_name", *[F.nanvl(c, F.lit(0.0)).alias(c) for c in near.columns[1:]])
-        ego = graph.ego_stats(stage(graph.out_neighbours(e, u), "neighbours"))
+        ego = graph.ego_stats(stage(graph.out_neighbours(e, u, known), "neighbours"))
         tables += [t.select("user_name", *[F.col(c).alias(f"{kind}_{c}") for c in t.columns if c != "user_name"]) for t in (links, near, ego)]
     return assemble.combine(u, *tables)
 
 
+def _count_user_text(spark, sf_dir):
+    """Posts as lines of text in, users and counts as lines of text out."""
+    source, target = new_folder(spark, "posts"), new_folder(spark, "counts")
+    lines.write_lines(X.posts(spark, sf_dir), source)
+    jobs.run(spark, "count_user", [str(LEAST_POSTS), source, target])
+    return lines.parse_pairs(spark.read.text(target), "n_posts", "bigint")
+
+
 def _words(spark, sf_dir):
     return clean.raw_terms(X.posts(spark, sf_dir)).where("word IS NOT NULL").select("word").distinct()
 
@@ -116,6 +137,7 @@ QUERIES = {
     "dict_sort": lambda s, d: clean.sort_terms(clean.term_counts(X.posts(s, d))),
     "stem": lambda s, d: _words(s, d).select("word", stem(F.col("word")).alias("stem")),
     "sort_posts": lambda s, d: dataset.sort_posts(X.posts(s, d), total=True),
+    "count_user_text": _count_user_text,
     "count_user": lambda s, d: dataset.count_users(X.posts(s, d), LEAST_POSTS),
     "filter_less_user": lambda s, d: dataset.active_users_posts(X.posts(s, d), LEAST_POSTS),
     "sample_by_user": lambda s, d: dataset.posts_of(X.posts(s, d), X.users(s, d)),
@@ -131,8 +153,8 @@ QUERIES = {
     "mention_sent_stat": _features("mention_sent"),
     "retweet_sent_stat": _features("retweet_sent"),
     "original_stat": _features("original"),
-    "retweet_num_per_tweet": lambda s, d: features.retweet_counts(X.posts(s, d), X.users(s, d)).drop("hash"),
-    "egonet_dump": lambda s, d: graph.ego_dump(graph.out_neighbours(_edges("mention")(s, d), X.users(s, d))),
+    "retweet_num_per_tweet": lambda s, d: features.retweet_counts(X.posts(s, d), X.users(s, d)),
+    "egonet_dump": lambda s, d: graph.ego_dump(stage(graph.out_neighbours(_edges("mention")(s, d), X.users(s, d)), "adjacency")),
     "feature_sort": lambda s, d: assemble.sort_features(_features("word")(s, d)),
     "feature_complete": _completed,
     "feature_wide": _wide,
@@ -140,8 +162,8 @@ QUERIES = {
     "export_cluster": lambda s, d: assemble.export_cluster(_completed(s, d), _listed(s, d), "at", MATRIX, 100),
     "export_lda": lambda s, d: assemble.export_lda(_completed(s, d), _listed(s, d), "at", MATRIX),
     "export_random": lambda s, d: assemble.export_random(X.users(s, d), 4, SEED),
-    "local_user_map": lambda s, d: assemble.lookup(X.users(s, d), X.scores(s, d).where("global_id % 5 <> 0"), "global_id"),
-    "local_user_pr": lambda s, d: assemble.lookup(X.users(s, d), X.scores(s, d).where("global_id % 5 <> 0"), "pr"),
+    "local_user_map": lambda s, d: assemble.lookup(X.users(s, d), X.scores(s, d).where(F.col("n_events") >= SCORED), "global_id"),
+    "local_user_pr": lambda s, d: assemble.lookup(X.users(s, d), X.scores(s, d).where(F.col("n_events") >= SCORED), "pr"),
     "cluster_feature_stat": _stats,
     "cluster_select_parse": lambda s, d: cluster.parse_report(X.report(s)),
     "cluster_selected_stat": lambda s, d: cluster.selected_stats(_stats(s, d), cluster.parse_report(X.report(s))),

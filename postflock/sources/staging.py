@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,11 +19,14 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in local tests, a temporary folder of
-    this machine is used.
+    Where the setting is absent a temporary folder of this machine is used if all
+    of Spark runs in this process, as in local tests; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="postflock-")
         atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -40,6 +46,35 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def settled(name: str) -> Callable:
+    """Decorates an operator that returns one table: the result is written as
+    ``name``, and what the operator staged on its way is deleted at once."""
+
+    def of(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(*args, **kwargs) -> DataFrame:
+            before = len(_made)
+            try:
+                out = stage(operator(*args, **kwargs), name)
+            except BaseException:
+                _drop(before, None)
+                raise
+            _drop(before, out.staged_path)
+            return out
+
+        return run
+
+    return of
+
+
+def _drop(before: int, keep: str | None) -> None:
+    """Deletes the folders made since there were ``before``, all but one."""
+    made, _made[before:] = _made[before:], [x for x in _made[before:] if x[1] == keep]
+    for spark, path in made:
+        if path != keep:
+            delete(spark, path)
+
+
 def release() -> None:
     """Deletes all that ``stage`` and ``new_folder`` made; results read from it end."""
     while _made:

@@ -1,7 +1,11 @@
 import math
+import random
+import re
 
 import pytest
 
+from postflock import jobs
+
 from postflock.operators import assemble, clean, cluster, dataset, features, graph
 from postflock.sources import lines
 
@@ -77,11 +81,55 @@ def test_lines(spark, tmp_path):
         lines.parse_numbers(spark.createDataFrame([("1 2 3",)], "value string"), 2).collect()
 
 
+def values(spark, *texts):
+    return spark.createDataFrame([(x,) for x in texts], "value string")
+
+
+def test_readers_of_features(spark, tmp_path):
+    stats = lines.parse_link_stats(values(spark, "u\t1\t2\t0.5\t4\t0.25\t6\t7", "short\t1\t2\t3", ""))
+    assert [tuple(r) for r in stats.collect()] == [("u", 2, 4)]
+    table = lines.parse_features(values(spark, "u\t1\t2.5\t", "v\t3\tNaN", ""), ["x", "y"])
+    assert [str(tuple(r)) for r in table.collect()] == ["('u', 1.0, 2.5)", "('v', 3.0, nan)"]
+    for bad in ("no tab", "u\t1", "u\t1\t2\t3"):
+        with pytest.raises(Exception, match="not 2 features"):
+            lines.parse_features(values(spark, bad), ["x", "y"]).collect()
+    (tmp_path / "flags").write_text("1\n0\n1 yes\n")
+    flags = lines.parse_flags(lines.read_ordered(spark, f"{tmp_path}/flags"), ["a", "b", "c", "d"])
+    assert [(r.name, r.flag) for r in flags.orderBy("place").collect()] == [("a", True), ("b", False), ("c", True), ("d", False)]
+    matrix = lines.parse_matrix(values(spark, "1 u 7 0.5 1.0E7", ""), ["x", "y"])
+    assert [tuple(r) for r in matrix.collect()] == [(1, "u", 7, 0.5, 1e7)]
+    with pytest.raises(Exception, match="not 2 features"):
+        lines.parse_matrix(values(spark, "1 u 7 0.5"), ["x", "y"]).collect()
+
+
+def test_jobs_from_text_to_text(spark, tmp_path):
+    (tmp_path / "posts").write_text("1\tu\ta b @v\n2\tu\tb #x c\n3\tv\tRT @u: hello there\nskipped\n")
+    (tmp_path / "users").write_text("u\nv\textra\n")
+
+    def run(name, *arguments):
+        jobs.run(spark, name, [*arguments, f"{tmp_path}/out-{name}"])
+        return sorted(r.value for r in spark.read.text(f"{tmp_path}/out-{name}").collect())
+
+    posts, people = f"{tmp_path}/posts", f"{tmp_path}/users"
+    assert run("count_user", "2", posts) == ["u\t2"]
+    assert run("mention_out", people, posts) == ["u\t1\tv"]
+    assert run("merge_posts", posts) == ["u\ta b @v b #x c ", "v\tRT @u: hello there "]
+    degrees = run("mention_link_stats", people, posts)
+    assert degrees == ["u\t0\t1\t0.0\t0\t0.0\t1\t0", "v\t0\t0\t0.0\t1\t0.0\t0\t1"]
+    assert run("mention_neighbour_stats", people, f"{tmp_path}/out-mention_link_stats", posts)[0].startswith("u\t0.0\t0.0\t1.0\t0.0\tNaN")
+    assert run("retweet_counts", people, posts)[0].split("\t")[2:] == ["1", "hello there"]
+    assert run("ego_out", f"{tmp_path}/out-mention_out") == []
+    with pytest.raises(ValueError, match="least posts output"):
+        jobs.run(spark, "count_user", ["1"])
+    with pytest.raises(KeyError):
+        jobs.run(spark, "no such job", [])
+
+
 def test_matrix(spark):
     u = users(spark, "b", "a", "c")
     f = spark.createDataFrame([("a", 4.0, -1.0), ("c", float("nan"), -2.0)], "user_name string, x double, y double")
     done = assemble.complete(u, f)
-    assert sorted(map(str, done.collect())) == sorted(map(str, [*done.collect()])) and [r.local_id for r in done.orderBy("user_name").collect()] == [0, 1, 2]
+    assert sorted(map(str, done.collect())) == sorted(map(str, [*done.collect()])) and [r.local_id for r in done.orderBy("user_name").collect()] == [1, 2, 3]
     ids = spark.createDataFrame([("a", 7), ("b", 8), ("c", 9)], "user_name string, global_id long")
     rows = {r.user_name: tuple(r)[2:] for r in assemble.normalise(done.join(ids, "user_name"), ["x", "y"], []).collect()}
     assert rows == {"a": (7, 1.0, 0.0), "b": (8, 0.0, 0.0), "c": (9, 0.0, 0.0)}
@@ -92,6 +140,42 @@ def test_matrix(spark):
         assemble.export_lda(done, listed, "at", ["x"]).collect()
 
 
+def test_printed_rows(spark):
+    """Lines as the reference prints them."""
+    rows = [(1, "a", 7, 1.0, 1e7), (2, "b", 8, 0.0005, 0.1), (3, "c", 9, 17.333333333333332, 12345678.9)]
+    matrix = spark.createDataFrame(rows, "local_id long, user_name string, global_id long, x double, y double")
+    listed = spark.createDataFrame([("b", 0), ("a", 1), ("c", 2)], "user_name string, at int")
+    lda = [r.line for r in assemble.export_lda(matrix, listed, "at", ["x", "y"]).orderBy("place").collect()]
+    assert lda == ["1 f1:5.0E-4 f2:0.1 # b", "1 f1:1.0 f2:1.0E7 # a", "1 f1:17.333333333333332 f2:1.23456789E7 # c"]
+    cluster_lines = [r.line for r in assemble.export_cluster(matrix, listed, "at", ["x", "y"], 3).orderBy("place").collect()]
+    assert cluster_lines == ["3 2", "5.0E-4 0.1", "1.0 1.0E7", "17.333333333333332 1.23456789E7"]
+    drawn = sorted(r.line for r in assemble.export_random(listed, 2, 5).collect())
+    assert sorted(re.sub(r"0\.\d+(E-\d)?|\d\.\d+E-\d", "r", x) for x in drawn) == ["1 x1:r x2:r # a", "1 x1:r x2:r # b", "1 x1:r x2:r # c"]
+    assert drawn == sorted(r.line for r in assemble.export_random(listed.repartition(3), 2, 5).collect())
+
+
+def test_triangles_against_all_paths(spark):
+    """A hub that all follow and that follows all, and random links."""
+    rng = random.Random(3)
+    pairs = {(f"n{rng.randint(0, 40)}", f"n{rng.randint(0, 40)}") for _ in range(400)} | {("hub", f"n{i}") for i in range(41)} | {(f"n{i}", "hub") for i in range(0, 41, 2)}
+    pairs = {(a, b) for a, b in pairs if a != b}
+    got = sorted(tuple(r) for r in graph.triangles(links(spark, sorted(pairs))).collect())
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    want = sorted((c, x, z) for c in out for x in out[c] for z in out.get(x, ()) if z in out[c] and z != c)
+    assert got == want and len(want) > 1000
+
+
+def test_a_hub_starts_no_pairs(spark):
+    """In a wheel every triangle starts at the rim: the hub has the most edges, so
+    that it leads nowhere."""
+    wheel = [("hub", f"n{i}") for i in range(3000)] + [(f"n{i}", f"n{i + 1}") for i in range(2999)]
+    assert graph.triangles(links(spark, wheel)).count() == 2999
+    led = graph.directed(links(spark, wheel))
+    assert led.where("l.u = 'hub'").count() == 0 and led.groupBy("l").count().agg({"count": "max"}).first()[0] <= 3
+
+
 def test_clusters(spark):
     scores = spark.createDataFrame([(0, f"u{i}", float(s)) for i, s in enumerate([1, 3, 4, 2, 5, 6, 7, 7])], "cluster_id int, user_name string, pr double")
     assert [(r.place, r.user_name) for r in cluster.top_users(scores, 3).orderBy("place").collect()] == [(1, "u6"), (2, "u7"), (3, "u5")]
