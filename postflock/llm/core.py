@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import delete, new_folder, stage
+from ..sources.staging import delete, new_folder, settled, stage
 
-__all__ = ["broadcast_if_small", "delete", "key_crc", "most_frequent", "new_folder", "once_per_worker", "partitions", "pick", "stage", "table", "without"]
+__all__ = ["broadcast_if_small", "delete", "key_crc", "most_frequent", "new_folder", "once_per_worker", "partitions", "pick", "settled", "stage", "table", "without"]
 
 
 def pick(df: DataFrame, **names: str) -> DataFrame:

@@ -1,16 +1,23 @@
 """Near-duplicate embeddings by lattice hashing: random projections to eight
 dimensions are decoded to points of the lattice E8.
 
-A vector's unit direction is turned by a random rotation and cut into tables of
-eight coordinates; in each its cell is the lattice point next to it. It is also
-shown in the neighbouring cells that its place inside its own comes closest to.
-Two vectors meet in a table if one's own cell is among the other's cells, and a
-meeting counts if their cosine, in double precision, reaches the threshold. Each
-linked pair is counted in one place only, the first of all cells where they meet.
+A vector's unit direction is turned by random rotations and cut into pieces of eight
+coordinates; each piece is decoded to the lattice point next to it. So many points
+together are a cell of one table, and there are several tables. A vector is also shown
+in the neighbouring cells in which one of the points is replaced by the lattice point
+that comes closest after it. Two vectors meet in a table if one's own cell is among the
+other's cells, and a meeting counts if their cosine, in double precision, reaches the
+threshold. Each linked pair is counted in one place only, the first of all cells where
+they meet.
+
+The more vectors there are, the more points make a cell (and the more tables there are,
+for the same recall), so that vectors which are not similar hardly ever meet and what
+is done for each does not grow with the table.
 
 Equal vectors are one from the start, with a weight. A crowded cell is dealt out
 as pairs of blocks of bounded size; a block pair gives the number of links of each
-vector and a forest of links, never the pairs.
+vector and a star of links for each group, never the pairs. Cells that hold nothing
+but vectors which have met in the first table are not looked at again.
 """
 
 from __future__ import annotations
@@ -20,24 +27,34 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .core import broadcast_if_small, partitions, pick, stage
+from .core import broadcast_if_small, partitions, pick, settled, stage
 
 THRESHOLD = 0.95
-TABLES = 8
-#: Neighbouring cells in which a vector is shown, and the size of directions in
-#: units of the lattice. At the threshold a pair meets in a table with probability
-#: 0.60, in one of eight with 0.999.
-PROBES, SCALE = 2, 6.0
-#: Vectors of a block.
-BLOCK = 512
+#: Size of directions in units of the lattice.
+SCALE = 4.0
+#: Points of a cell -> tables. At the threshold a pair meets in a table with
+#: probability 0.71, 0.42, 0.23, 0.12 and 0.06, in one of all with over 0.99.
+TABLES = {1: 6, 2: 14, 3: 30, 4: 60, 5: 116}
+#: Two unlike directions have the same point with about this probability, ...
+MEET = 0.004
+#: ... and a vector may meet so many unlike ones in a table, before cells get a point more.
+UNLIKE = 0.3
+#: Vectors of a block, groups that are compared one by one, pairs compared at a time.
+BLOCK, LARGE, PAIRS = 2048, 48, 100_000
 SMALL = 300_000
 NO_KEY = 1 << 62
 
 
+def points_for(n: int) -> int:
+    """Points of a cell for so many different vectors."""
+    return next((k for k in TABLES if n * MEET**k * (1 + k) <= UNLIKE), max(TABLES))
+
+
 @lru_cache(maxsize=1)
 def roots() -> np.ndarray:
     """The 240 shortest vectors of E8."""
@@ -67,28 +84,38 @@ def decode(y: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def projections(width: int, tables: int, seed: int = 7) -> np.ndarray:
-    """(tables, width, 8): rows of random rotations, as many as are needed."""
+def projections(width: int, pieces: int, seed: int = 7) -> np.ndarray:
+    """(pieces, width, 8): rows of random rotations, as many as are needed."""
     rng, found = np.random.default_rng(seed), []
-    while sum(x.shape[1] for x in found) < 8 * tables:
+    while sum(x.shape[1] for x in found) < 8 * pieces:
         size = max(width, 8)
         found.append(np.linalg.qr(rng.normal(size=(size, size)))[0][:width])
-    flat = np.concatenate(found, 1)[:, : 8 * tables] * np.sqrt(max(width, 8) / 64)
-    return flat.reshape(width, tables, 8).transpose(1, 0, 2)
+    flat = np.concatenate(found, 1)[:, : 8 * pieces] * np.sqrt(max(width, 8) / 64)
+    return np.ascontiguousarray(flat.reshape(width, pieces, 8).transpose(1, 0, 2))
 
 
-def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
-    """(n, tables, 1 + probes) cell numbers, a vector's own first."""
+def cells(unit: np.ndarray, points: int, tables: int | None = None, scale: float = SCALE) -> np.ndarray:
+    """(n, tables, 1 + points) cell numbers, a vector's own first. Tables, and vectors
+    of unlike width, have no number in common."""
+    tables = tables or TABLES[points]
     rng = np.random.default_rng(5)
-    weights = rng.integers(1, 1 << 62, 8, dtype=np.int64) | 1
-    out = np.empty((len(unit), tables, 1 + probes), np.int64)
-    for t, p in enumerate(projections(unit.shape[1], tables)):
-        y = scale * (unit @ p) + 0.37 * t
-        own = decode(y)
-        near = np.argsort(-((y - own) @ roots().T), axis=1, kind="stable")[:, :probes]
-        points = np.concatenate([own[:, None], own[:, None] + roots()[near]], 1)
-        with np.errstate(over="ignore"):
-            out[:, t] = (np.rint(2 * points).astype(np.int64) * weights).sum(-1)
+    weights = rng.integers(1, 1 << 62, (len(TABLES) * 8, 1 + max(TABLES.values())), dtype=np.int64) | 1
+    near_to = roots().astype(np.float32)
+    out = np.empty((len(unit), tables, 1 + points), np.int64)
+    with np.errstate(over="ignore"):
+        for t in range(tables):
+            sums, steps = weights[0, t] * (1 + unit.shape[1]), []
+            for j in range(points):
+                piece = t * points + j
+                y = scale * (unit @ projections(unit.shape[1], TABLES[points] * points)[piece]) + 0.37 * piece % 1
+                own = decode(y)
+                step = near_to[((y - own).astype(np.float32) @ near_to.T).argmax(1)]
+                weight = weights[8 * j : 8 * j + 8, 1 + t]
+                sums = sums + np.rint(2 * own).astype(np.int64) @ weight
+                steps.append(np.rint(2 * step).astype(np.int64) @ weight)
+            out[:, t, 0] = sums
+            for j, step in enumerate(steps):
+                out[:, t, 1 + j] = sums + step
     return out
 
 
@@ -99,51 +126,101 @@ def units(batch: pa.Array) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def links_in(table: int, cell: int, unit: np.ndarray, owner: np.ndarray, part: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of a block pair that are counted here."""
-    cosine = unit @ unit.T
-    i, j = np.nonzero(np.triu(cosine >= THRESHOLD, 1))
-    keep = owner[i] | owner[j]
-    if low != high:
-        keep &= part[i] != part[j]
-    i, j = i[keep], j[keep]
-    if not len(i):
-        return i, j
-    involved, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    all_cells = cells(unit[involved])
-    counted = np.zeros(len(i), bool)
-    for start in range(0, len(i), 50_000):
-        a, b = (all_cells[x[start : start + 50_000]] for x in (at[: len(i)], at[len(i) :]))
-        # by table: the own cell of either, where the other is shown too
-        first = (a[:, :, :1] == b).any(2)
-        second = (b[:, :, :1] == a).any(2)
-        met = first | second
-        earlier = met[:, :table].any(1)
-        most = np.iinfo(np.int64).max
-        least = np.minimum(np.where(first[:, table], a[:, table, 0], most), np.where(second[:, table], b[:, table, 0], most))
-        counted[start : start + 50_000] = ~earlier & (least == cell)
-    return i[counted], j[counted]
-
-
-JOBS = "id bigint, w bigint, t int, cell bigint, own boolean, dim int"
-
-
+def gathered(n: int, i: np.ndarray, j: np.ndarray, up: np.ndarray | None = None) -> np.ndarray:
+    """The least of each group that the pairs (i, j) join; goes on from ``up``."""
+    up = np.arange(n) if up is None else up
+    while True:
+        a, b = up[i], up[j]
+        apart = a != b
+        if not apart.any():
+            return up
+        np.minimum.at(up, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def all_pairs(starts: np.ndarray, sizes: np.ndarray):
+    """Index arrays (i, j) of all pairs inside small groups, a bounded number at a time."""
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= LARGE)]):
+        x, y = np.triu_indices(size, 1)
+        first, step = starts[sizes == size], max(1, PAIRS // len(x))
+        for at in range(0, len(first), step):
+            some = first[at : at + step, None]
+            yield (some + x).ravel(), (some + y).ravel()
+
+
+def large_pairs(unit: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+    """The same for large groups, of which matrix products tell the similar pairs."""
+    for start, size in zip(starts[sizes > LARGE], sizes[sizes > LARGE]):
+        inside = unit[start : start + size]
+        step = max(1, 20 * PAIRS // size)
+        for at in range(0, size, step):
+            x, y = np.nonzero(inside[at : at + step] @ inside[at:].T >= THRESHOLD)
+            keep = x < y
+            yield start + at + x[keep], start + at + y[keep]
+
+
+class Jobs:
+    """Rows of block pairs in order, all of one width: a link's first meeting is looked
+    for, and counted."""
+
+    def __init__(self, points: int, unit, job, t, cell, own, part, split, home, weight):
+        self.points, self.unit, self.job, self.t, self.cell = points, unit, job, t, cell
+        self.own, self.part, self.split, self.home, self.weight = own, part, split, home, weight
+
+    def links(self):
+        """Arrays (i, j) of linked pairs of rows that are counted here."""
+        starts = np.flatnonzero(np.diff(self.job, prepend=-1))
+        sizes = np.diff(np.append(starts, len(self.job)))
+        for i, j in all_pairs(starts, sizes):
+            i, j = self._may_count(i, j)
+            close = np.einsum("ij,ij->i", self.unit[i], self.unit[j]) >= THRESHOLD
+            yield from self._counted(i[close], j[close])
+        for i, j in large_pairs(self.unit, starts, sizes):
+            yield from self._counted(*self._may_count(i, j))
+
+    def _may_count(self, i, j):
+        """Without pairs that do not meet here, that another block pair has, or that
+        met in the first table as they have the same own cell there."""
+        keep = (self.own[i] | self.own[j]) & (~self.split[i] | (self.part[i] != self.part[j])) & ((self.t[i] == 0) | (self.home[i] != self.home[j]))
+        return i[keep], j[keep]
+
+    def _counted(self, i, j):
+        sure = (self.t[i] == 0) & self.own[i] & self.own[j]
+        if sure.any():
+            yield i[sure], j[sure]
+        i, j = i[~sure], j[~sure]
+        for at in range(0, len(i), PAIRS):
+            x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+            rows, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+            known = cells(self.unit[rows], self.points, int(self.t[x].max()) + 1)
+            for low in range(0, len(x), 5_000):
+                here = slice(low, low + 5_000)
+                a, b = known[place[: len(x)][here]], known[place[len(x) :][here]]
+                # by table: the own cell of either, where the other is shown too
+                first = (a[:, :, :1] == b).any(2)
+                second = (b[:, :, :1] == a).any(2)
+                n, t = np.arange(len(a)), self.t[x[here]]
+                earlier = ((first | second) & (np.arange(a.shape[1]) < t[:, None])).any(1)
+                most = np.iinfo(np.int64).max
+                least = np.minimum(np.where(first[n, t], a[n, t, 0], most), np.where(second[n, t], b[n, t, 0], most))
+                counted = ~earlier & (least == self.cell[x[here]])
+                yield x[here][counted], y[here][counted]
+
+    def run(self):
+        """(rows, first row of the group of each, number of links) where there are links."""
+        n, up = np.zeros(len(self.job)), np.arange(len(self.job))
+        for i, j in self.links():
+            n += np.bincount(i, self.weight[j], len(n)) + np.bincount(j, self.weight[i], len(n))
+            up = gathered(len(n), i, j, up)
+        rows = np.flatnonzero(n)
+        return rows, up[rows], n[rows].astype(np.int64)
+
+
+SHOWN = "id bigint, t int, cell bigint, own boolean, home bigint"
+
+
+@settled("near-duplicates")
 def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """A row for each row of ``vectors``: key, n_links (other rows linked to it),
     component_id (the least key that links reach, itself included), kept (whether
@@ -153,7 +230,8 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     with nothing, nor do vectors of unlike length. Repeated rows link with each
     other. A row without key links like any other but gives no name to a component:
     one of such rows alone has a null component_id, and kept is then false. Keys are
-    integers below 2**62. An empty table gives no row.
+    integers below 2**62. An empty table gives no row. Other columns are not looked
+    at, whatever their names.
     """
     rows = pick(vectors, key=key, v=vector).select(F.col("key").cast("bigint").alias("key"), F.col("v").cast("array<double>").alias("v"))
     usable = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -163,76 +241,66 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     node = F.coalesce("key", F.col("h1").bitwiseAND(F.lit(NO_KEY - 1)).bitwiseOR(F.lit(NO_KEY)))
     good = rows.where(F.col("v").isNotNull()).withColumn("node", node)
     classes = stage(good.groupBy("h1", "h2").agg(F.min("node").alias("id"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v")), "classes")
+    points = points_for(classes.count())
+    tables = TABLES[points]
 
     def show(batches):
         for batch in batches:
-            dims = np.array(batch.column(2).value_lengths().to_numpy(zero_copy_only=False), np.int32)
-            for dim in np.unique(dims):
-                some = batch.filter(pa.array(dims == dim))
-                n = some.num_rows
-                found = cells(units(some.column(2)))
-                times = TABLES * (1 + PROBES)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(some.column(0).to_numpy(), times)), pa.array(np.repeat(some.column(1).to_numpy(), times)),
-                    pa.array(np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), 1 + PROBES), n)), pa.array(found.ravel()),
-                    pa.array(np.tile(np.arange(1 + PROBES) == 0, n * TABLES)), pa.array(np.full(n * times, dim, np.int32)),
-                ], names=["id", "w", "t", "cell", "own", "dim"])
-
-    shown = stage(classes.select("id", "w", "v").mapInArrow(show, JOBS), "cells")
-    place = ["dim", "t", "cell"]
-    sizes = shown.groupBy(*place).agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("owned")).where("owned AND size > 1")
-    sizes = stage(sizes.select(*place, F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "sizes")
+            for at in range(0, batch.num_rows, 2_000):
+                piece = batch.slice(at, 2_000)
+                dims = piece.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for dim in np.unique(dims):
+                    some = piece.filter(pa.array(dims == dim))
+                    found, times = cells(units(some.column(1)), points), tables * (1 + points)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.repeat(some.column(0).to_numpy(), times)),
+                        pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + points), some.num_rows)),
+                        pa.array(found.ravel()),
+                        pa.array(np.tile(np.arange(1 + points) == 0, some.num_rows * tables)),
+                        pa.array(np.repeat(found[:, 0, 0], times)),
+                    ], names=["id", "t", "cell", "own", "home"])
+
+    shown = stage(classes.select("id", "v").mapInArrow(show, SHOWN), "cells")
+    sizes = shown.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("owned"), F.min("t").alias("at"), F.min("home").alias("low"), F.max("home").alias("high"))
+    sizes = sizes.where("owned AND size > 1 AND (at = 0 OR low < high)")
+    sizes = stage(sizes.select("cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "sizes")
     sizes, _ = broadcast_if_small(sizes, SMALL)
-    parted = shown.join(sizes, place).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    parted = shown.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     jobs = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    jobs = jobs.select("id", "w", *place, "own", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    group = [*place, "low", "high"]
-    dealt = jobs.join(classes.select("id", "v"), "id").repartition(partitions(vectors.sparkSession), *group).sortWithinPartitions(*group, "id")
+    jobs = jobs.select("id", "t", "cell", "own", "home", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    group = ["cell", "low", "high"]
+    dealt = jobs.join(classes.select("id", "w", "v"), "id").repartition(partitions(vectors.sparkSession), *group).sortWithinPartitions(*group, "id")
 
     def compare(batches):
         held = None
         for batch in batches:
-            batch = pa.Table.from_batches([batch]).select(["id", "w", *group, "own", "part", "v"])
+            batch = pa.Table.from_batches([batch])
             held = batch if held is None else pa.concat_tables([held, batch])
+            if len(held) < 2:
+                continue
             names = np.stack([held.column(x).to_numpy() for x in group], 1)
-            cuts = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
-            if len(cuts):  # the last job may go on in the next batch
-                yield from whole(held.slice(0, cuts[-1]), names, [0, *cuts.tolist()])
-                held = held.slice(cuts[-1])
+            ends = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
+            if len(ends):  # the last job may go on in the next batch
+                yield from whole(held.slice(0, ends[-1]))
+                held = held.slice(ends[-1])
         if held is not None and len(held):
-            names = np.stack([held.column(x).to_numpy() for x in group], 1)
-            yield from whole(held, names, [0, len(held)])
-
-    def whole(data, names, cuts):
-        ids, w = data.column("id").to_numpy(), data.column("w").to_numpy()
-        own, part = (np.array(data.column(x).to_pylist()) for x in ("own", "part"))
-        vectors = data.column("v").combine_chunks()
-        out_a, out_b, out_n = [], [], []
-        for start, stop in zip(cuts, cuts[1:]):
-            if stop - start < 2 or not own[start:stop].any():
-                continue
-            dim, t, cell, low, high = (int(x) for x in names[start])
-            unit = units(vectors.slice(start, stop - start))
-            i, j = links_in(t, cell, unit, own[start:stop], part[start:stop], low, high)
-            if not len(i):
-                continue
-            of, weight = ids[start:stop], w[start:stop]
-            n = np.bincount(i, weight[j], len(of)) + np.bincount(j, weight[i], len(of))
-            for x in np.flatnonzero(n):
-                out_a.append(int(of[x]))
-                out_b.append(None)
-                out_n.append(int(n[x]))
-            forest = Forest(len(of))
-            for x, y in zip(i.tolist(), j.tolist()):
-                if forest.join(x, y):
-                    out_a.append(int(of[x]))
-                    out_b.append(int(of[y]))
-                    out_n.append(0)
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_n, pa.int64())], names=["a", "b", "n"])
+            yield from whole(held)
+
+    def whole(table):
+        dims = pa.compute.list_value_length(table.column("v")).to_numpy()
+        for dim in np.unique(dims):
+            data = table.filter(pa.array(dims == dim)).combine_chunks()
+            id_, t, cell, home, w, low, high, part = (data.column(x).to_numpy() for x in ("id", "t", "cell", "home", "w", "low", "high", "part"))
+            own = data.column("own").to_numpy(zero_copy_only=False).astype(bool)
+            names = np.stack([cell, low, high], 1)
+            job = np.concatenate([[0], np.cumsum((names[1:] != names[:-1]).any(1))])
+            unit = units(data.column("v").combine_chunks())
+            rows, to, n = Jobs(points, unit, job, t, cell, own, part, low != high, home, w).run()
+            yield pa.RecordBatch.from_arrays([pa.array(id_[rows]), pa.array(id_[to]), pa.array(n)], names=["a", "b", "n"])
 
     found = stage(dealt.mapInArrow(compare, "a bigint, b bigint, n bigint"), "links")
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("counted")).agg(F.sum("n").alias("n"))
-    named = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "of")
+    counts = found.groupBy(F.col("a").alias("counted")).agg(F.sum("n").alias("n"))
+    named = components(found.where("a <> b").select("a", "b")).withColumnRenamed("id", "of")
     placed = classes.drop("v").join(counts, F.col("id") == F.col("counted"), "left").join(named, F.col("id") == F.col("of"), "left")
     placed = placed.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     out = rows.select("key", "h1", "h2", F.col("v").isNotNull().alias("good")).join(placed, ["h1", "h2"], "left")

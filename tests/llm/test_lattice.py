@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from postflock.llm import lattice
 
@@ -65,16 +66,42 @@ def test_against_all_pairs(spark, monkeypatch):
     assert order(run(spark, rows)) == order(brute(rows))
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("width", [3, 64, 768])
+@pytest.mark.parametrize("points", [1, 2, 3, 4])
+def test_recall_at_the_threshold(width, points):
     rng = np.random.default_rng(4)
-    a = rng.normal(size=(4000, 64))
+    a = rng.normal(size=(1500, width))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b = rng.normal(size=a.shape)
     b -= (a * b).sum(1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
-    x, y = lattice.cells(a), lattice.cells(0.95 * a + np.sqrt(1 - 0.95**2) * b)
+    x, y = lattice.cells(a, points), lattice.cells(0.95 * a + np.sqrt(1 - 0.95**2) * b, points)
     met = (x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)
-    assert met.any(1).mean() > 0.995
+    assert met.any(1).mean() >= 0.99
+
+
+def test_unlike_vectors_hardly_meet():
+    """However many there are: cells get more points as the table grows."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(20_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for n in (500, 2_000, 20_000):
+        own = lattice.cells(v[:n], lattice.points_for(n), 1)[:, 0, 0]
+        assert (np.unique(own, return_counts=True)[1] ** 2).sum() / n - 1 < 0.2
+    assert [lattice.points_for(n) for n in (0, 30, 5_000, 500_000, 10**8)] == [1, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("points", [1, 2, 3])
+def test_blocks_and_large_groups(spark, monkeypatch, points):
+    """A pair is counted once, wherever it meets and however its cell is dealt out."""
+    for name, value in (("BLOCK", 16), ("LARGE", 6), ("PAIRS", 50)):
+        monkeypatch.setattr(lattice, name, value)
+    monkeypatch.setattr(lattice, "points_for", lambda n: points)
+    rng, rows = np.random.default_rng(9), []
+    for size in [1] * 60 + [2] * 20 + [9] * 5 + [120]:
+        base = rng.normal(size=32)
+        rows += [(len(rows) + i, (base + rng.normal(size=32) * rng.choice([0.0, 0.06, 0.12])).tolist(), 0) for i in range(size)]
+    assert order(run(spark, rows)) == order(brute(rows))
 
 
 def test_empty(spark):
