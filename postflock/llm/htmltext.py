@@ -1,11 +1,16 @@
 """Main text of web pages: site templates are found by counting and removed.
 
-A page is parsed into a tree. The hash of an element stands for its whole
-subtree: name, text and children. Spark counts on how many different pages of a
-host each subtree stands; those that recur on many are the site's template and
-are deleted wherever they stand outside the article. Elements that are marked as
-navigation, advert, form, comment and the like go too, in the article as well.
-Prose of an article is never taken for template, however often it recurs.
+A page is parsed into a tree. The hash of an element stands for its whole subtree:
+name, text and children. Spark counts on how many different pages of a host each
+subtree stands; those that recur on many are the site's template and are deleted
+wherever they stand. In the article that holds for containers: its prose is never
+taken for template, however often it recurs.
+
+What changes from page to page, such as an advert or readers' comments, recurs as a
+frame only: by name, class and id. Frames whose class speaks of an advert, a menu, a
+share bar and the like are counted too, on pages of a host and on different hosts, and
+are deleted where they recur. A class alone deletes nothing. What HTML itself marks as
+no part of the text (scripts, navigation, footers, forms, hidden elements) always goes.
 """
 
 from __future__ import annotations
@@ -23,8 +28,12 @@ from .core import pick, stage
 
 #: A subtree is template if it stands on this many different pages of its host ...
 LEAST_PAGES = 5
-#: ... and on at least one of so many of them.
-ONE_IN = 20
+#: ... and on at least one of so many of them, or on so many pages whatever the share.
+ONE_IN, MANY_PAGES = 20, 100
+#: Prose outside an article must stand on one of so many.
+PROSE_ONE_IN = 4
+#: A frame is template for all hosts if it stands on so many of them.
+LEAST_HOSTS = 5
 #: Elements that are nested more deeply stand side by side.
 DEEPEST = 512
 #: With more template subtrees than this they are joined to their pages, not sent
@@ -41,10 +50,19 @@ CLOSES_P = BLOCK - frozenset("body html caption dd dt li tbody td tfoot th thead
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "tbody": "tr td th thead tbody", "tfoot": "tr td th thead tbody", "option": "option"}
 SIBLINGS = {k: frozenset(v.split()) for k, v in SIBLINGS.items()}
 SCOPE = frozenset("ul ol dl table article section div main body td th".split())
-# words in class, id and role that mark what is not the article
+# what is prose or part of a text; recurring, it is no template inside an article
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table caption thead tbody tfoot tr td th li dl dt dd address a b i em strong span small sub sup code q cite mark u s br".split())
+UNFRAMED = frozenset("html body main p h1 h2 h3 h4 h5 h6 blockquote pre a b i em strong span small sub sup code q cite mark u s br".split())
+# lists are template inside an article only if they are mostly links
+LISTS = frozenset("ul ol menu".split())
+# words in class, id and role that speak of what is not the article
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer masthead menu nav navbar navigation newsletter notice notices pagination pager popup modal promo promoted promotion related respond share sharing sidebar social sponsor sponsored subscribe subscription widget widgets complementary contentinfo search".split())
 
 TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<other>[!?][^>]*>?)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*?)(?:>|\Z)|/[^a-zA-Z>][^>]*>?)""", re.S)
+ANY_HOST = "*"
+# the last two bits of a hash tell what it stands for
+CONTAINER, TEXT, FRAME = 0, 1, 2
+
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>]|\Z)""", re.I)
 
 
@@ -71,19 +89,36 @@ class Node:
                 todo.pop()
         return self._hash
 
-    def marked(self) -> bool:
-        """Whether its name or its attributes say that it is no part of the article."""
+    def code(self) -> int:
+        """The hash with the kind of the element."""
+        return (self.hash() - (1 << 63)) & ~3 | (TEXT if self.name in PROSE else CONTAINER)
+
+    def gone(self) -> bool:
+        """Whether HTML itself says that it is no part of the text."""
         if self.name in GONE:
             return True
-        for what, *values in ATTR.findall(self.attrs):
-            value = "".join(values).lower()
-            if what.lower() == "hidden" or what.lower() == "aria-hidden" and value == "true":
-                return True
-            for token in value.split():
-                # has-sidebar and the like speak of the page around
-                if not re.match("(?:has|with|no|without|is|show|hide)[-_]", token) and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", token)):
-                    return self.name not in ("html", "body", "main", "article")
-        return False
+        return any(what.lower() == "hidden" or what.lower() == "aria-hidden" and "".join(value).lower() == "true" for what, *value in ATTR.findall(self.attrs))
+
+    def frame(self, inside: bool) -> int | None:
+        """A hash of name, class, id and role, if these speak of what is not the
+        article; numbers in them do not count. None for paragraphs and words, for the
+        page's large parts and for an article that is in no other."""
+        if not self.attrs or self.name in UNFRAMED or self.name == "article" and not inside:
+            return None
+        tokens = [f"{what.lower()}={x}" for what, *values in ATTR.findall(self.attrs) if what.lower() in ("class", "id", "role") for x in "".join(values).lower().split()]
+        # has-sidebar and the like speak of the page around
+        spoken = [x.split("=", 1)[1] for x in tokens]
+        if not any(not re.match("(?:has|with|no|without|is|show|hide)[-_]", x) and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", x)) for x in spoken):
+            return None
+        plain = " ".join(sorted({re.sub(r"\d+", "#", x) for x in tokens}))
+        return (xxhash.xxh3_64_intdigest(f"{self.name} {plain}".encode("utf-8", "replace")) - (1 << 63)) & ~3 | FRAME
+
+
+class AllFrames:
+    """A template of every frame, for the text by which copies of a page are known."""
+
+    def __contains__(self, code: int) -> bool:
+        return code & 3 == FRAME
 
 
 def parse(html: str) -> Node:
@@ -158,21 +193,8 @@ def length(node: Node, name: str | None = None) -> int:
     return total
 
 
-def article(root: Node) -> tuple[list[Node], bool]:
-    """The elements that hold the article, and whether the page says so: its
-    outermost ``article`` elements, else ``main``, else the body."""
-    for name in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node.name == name or name == "main" and re.search(r"role\s*=\s*[\"']?main\b", node.attrs):
-                found.append(node)
-            elif not (node.marked() and node.name != "form"):
-                todo += [x for x in reversed(node.parts) if isinstance(x, Node)]
-        if found:
-            return found, True
-    bodies = [x for x in root.parts if isinstance(x, Node) and x.name == "html"]
-    return (bodies or [root]), False
+def holds_article(node: Node) -> bool:
+    return node.name in ("article", "main") or bool(node.attrs) and re.search(r"role\s*=\s*[\"']?main\b", node.attrs) is not None
 
 
 def links_mostly(node: Node) -> bool:
@@ -180,34 +202,42 @@ def links_mostly(node: Node) -> bool:
     return total > 0 and 2 * length(node, "a") >= total
 
 
+def in_frame(node: Node, template, inside: bool) -> bool:
+    found = node.frame(inside)
+    return found is not None and found in template
+
+
 def removable(node: Node, inside: bool) -> bool:
-    """Whether a recurring subtree may be deleted: anything outside the article,
-    in it only what is mostly links."""
-    return not inside or node.name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and links_mostly(node)
+    """Whether a subtree may be deleted if it recurs: anything outside the article,
+    in it containers, and lists of links."""
+    if node.name in ("", "html", "head", "body", "script", "style") or holds_article(node):
+        return False
+    return not inside or node.name not in PROSE and (node.name not in LISTS or links_mostly(node))
 
 
 def subtrees(root: Node) -> list[int]:
-    """Hashes of the elements with text that may be deleted as template."""
+    """Codes of the elements that may be deleted as template, and of the frames."""
     found: set[int] = set()
-    parts, said = article(root)
-    inside = {id(x) for x in parts} if said else set()
     todo = [(root, False)]
     while todo:
-        node, within = todo.pop()
-        within = within or id(node) in inside
-        if node.name not in ("", "html", "body", "head", "script", "style") and id(node) not in inside and (node.parts or node.name not in VOID):
-            if removable(node, within):
-                found.add(node.hash() - (1 << 63))
+        node, inside = todo.pop()
+        if (node.parts or node.name not in VOID) and removable(node, inside):
+            found.add(node.code())
+        frame = node.frame(inside)
+        if frame is not None:
+            found.add(frame)
+        inside = inside or holds_article(node)
         if node.name not in ("head", "script", "style"):
-            todo += [(x, within) for x in node.parts if isinstance(x, Node)]
+            todo += [(x, inside) for x in node.parts if isinstance(x, Node)]
     return sorted(found)
 
 
-def main_text(root: Node, template: frozenset | set) -> str:
-    """Blocks of the article, joined by an empty line."""
+def main_text(root: Node, template) -> str:
+    """Blocks of what the template, a set of codes, leaves, joined by an empty line.
+    An ``article`` or ``main`` element protects the prose in it; what stands outside
+    is not deleted for that alone."""
     blocks: list[str] = []
     words: list[str] = []
-    parts, said = article(root)
 
     def flush():
         text = " ".join(unescape("".join(words)).split())
@@ -215,38 +245,34 @@ def main_text(root: Node, template: frozenset | set) -> str:
             blocks.append(text)
         words.clear()
 
-    # (node or text, whether its end is meant); deep pages do not recurse
-    todo: list = [x for x in reversed(parts)]
-    outer = {id(x) for x in parts}
+    # a text, an element and whether it is inside the article, or () where a block
+    # ends; deep pages do not recurse
+    todo: list = [(root, False)]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             words.append(x)
             continue
-        if isinstance(x, tuple):
+        if not x:
             flush()
             continue
-        if id(x) not in outer:
-            if x.name == "header" and said:
-                # a heading inside the article's own header is the article's title
-                heads = [y for y in walk(x) if re.fullmatch("h[1-6]", y.name)]
+        x, inside = x
+        if x.name == "header" and inside:
+            # a heading inside the article's own header is the article's title
+            flush()
+            todo += [(y, True) for y in reversed(list(walk(x))) if re.fullmatch("h[1-6]", y.name)]
+            continue
+        if x.name == "header" or x.gone() or in_frame(x, template, inside) or (template and removable(x, inside) and x.code() in template):
+            if x.name in BLOCK:
                 flush()
-                todo += reversed(heads)
-                continue
-            if x.name == "header" or x.marked():
-                if x.name in BLOCK:
-                    flush()
-                continue
-            if template and (x.hash() - (1 << 63)) in template and removable(x, said):
-                if x.name in BLOCK:
-                    flush()
-                continue
+            continue
         if x.name in BLOCK:
             flush()
             todo.append(())
-        elif x.name in ("br", "wbr", "img"):
-            words.append(" " if x.name == "br" else "")
-        todo += reversed(x.parts)
+        elif x.name == "br":
+            words.append(" ")
+        inside = inside or holds_article(x)
+        todo += [p if isinstance(p, str) else (p, inside) for p in reversed(x.parts)]
     flush()
     return "\n\n".join(blocks)
 
@@ -259,7 +285,8 @@ def host_of(url: str | None) -> str:
 
 
 def template_subtrees(pages: DataFrame) -> DataFrame:
-    """``pages`` (url, html) -> staged (host, hash) of the subtrees that recur."""
+    """``pages`` (url, html) -> staged (host, hash): codes of the subtrees and frames
+    that recur on a host, and of frames that recur on many hosts."""
 
     def run(batches):
         for batch in batches:
@@ -269,15 +296,18 @@ def template_subtrees(pages: DataFrame) -> DataFrame:
                 hosts.append(host_of(url.as_py()))
                 root = parse(text)
                 # pages that are copies of each other count as one
-                whole.append(xxhash.xxh3_64_intdigest(main_text(root, frozenset())) - (1 << 63))
+                whole.append(xxhash.xxh3_64_intdigest(main_text(root, AllFrames())) - (1 << 63))
                 hashes.append(subtrees(root))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "page", "hashes"])
 
     seen = stage(pages.mapInArrow(run, "host string, page bigint, hashes array<bigint>"), "subtrees")
     sizes = seen.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     each = seen.select("host", "page", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    often = each.where(F.col("n") >= LEAST_PAGES).join(sizes, "host").where(F.col("n") * ONE_IN >= F.col("pages"))
-    return stage(often.select("host", "hash"), "templates")
+    each = stage(each.where((F.col("n") >= LEAST_PAGES) | (F.col("hash").bitwiseAND(3) == FRAME)), "counts")
+    often = each.where(F.col("n") >= LEAST_PAGES).join(sizes, "host")
+    share = F.when(F.col("hash").bitwiseAND(3) == TEXT, F.col("n") * PROSE_ONE_IN >= F.col("pages")).otherwise((F.col("n") * ONE_IN >= F.col("pages")) | (F.col("n") >= MANY_PAGES))
+    frames = each.where(F.col("hash").bitwiseAND(3) == FRAME).groupBy("hash").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= LEAST_HOSTS)
+    return stage(often.where(share).select("host", "hash").unionByName(frames.select(F.lit(ANY_HOST).alias("host"), "hash")), "templates")
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -287,7 +317,8 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     to one nameless host. Character references are decoded, white space in a block
     becomes one space, and the blocks stand in page order with an empty line
     between. Repeated rows each get their row; copies of a page count once among
-    the pages of a host. An empty table gives no row.
+    the pages of a host. An empty table gives no row. Other columns are not looked
+    at, whatever their names. Ties cannot occur: a subtree recurs often enough or not.
     """
     rows = pick(pages, key=key, url=url, html=html)
     templates = template_subtrees(rows.select("url", "html"))
@@ -301,11 +332,14 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
         by_host: dict[str, set] = {}
         for r in templates.collect():
             by_host.setdefault(r.host, set()).add(r.hash)
-        shared = pages.sparkSession.sparkContext.broadcast(by_host)
+        anywhere = by_host.pop(ANY_HOST, set())
+        by_host = {host: codes | anywhere for host, codes in by_host.items()}
+        shared = pages.sparkSession.sparkContext.broadcast((by_host, anywhere))
 
         def run(batches):
+            own, others = shared.value
             for batch in batches:
-                texts = [main_text(parse(h.as_py() or ""), shared.value.get(host_of(u.as_py()), frozenset())) for u, h in zip(batch.column(1), batch.column(2))]
+                texts = [main_text(parse(h.as_py() or ""), own.get(host_of(u.as_py()), others)) for u, h in zip(batch.column(1), batch.column(2))]
                 yield result(batch, texts)
 
         return rows.mapInArrow(run, schema)
@@ -320,7 +354,8 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     kind = rows.schema["key"].dataType.simpleString()
     each = rows.withColumn("row", F.xxhash64("key", "url", "html"))
     there = rows.mapInArrow(own, f"key {kind}, url string, html string, host string, hashes array<bigint>").select(F.xxhash64("key", "url", "html").alias("row"), "host", F.explode("hashes").alias("hash")).distinct()
-    lists = there.join(templates, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("hashes"))
+    found = there.join(templates, ["host", "hash"]).select("row", "hash").unionByName(there.join(templates.where(F.col("host") == ANY_HOST).select("hash"), "hash").select("row", "hash"))
+    lists = found.groupBy("row").agg(F.collect_set("hash").alias("hashes"))
     joined = each.join(lists, "row", "left").select("key", "url", "html", "hashes")
 
     def run_joined(batches):
