@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .core import new_folder, partitions, pick
+from .core import new_folder, partitions, pick, stage
 
 #: Compressed bytes at which a file is closed.
 FILE_BYTES = 128 << 20
@@ -38,27 +38,36 @@ def header(kind: str, fields: list[tuple[str, str]], length: int) -> bytes:
     return "\r\n".join(["WARC/1.1", f"WARC-Type: {kind}", *lines, f"Content-Length: {length}", "", ""]).encode()
 
 
-def record(page: int | None, ordinal: str, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> bytes:
-    """One record, compressed. A revisit keeps the HTTP headers, and in them the
-    payload's length, but not the payload."""
+def record_id(page: int | None, digest: str, place: int) -> str:
+    """The same for the same page and payload; ``place`` tells repeated rows apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{digest}/{place}')}>"
+
+
+def target_of(url: str | None, page: int | None) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{'' if page is None else page}"
+
+
+def record(page: int | None, place: int, url: str | None, payload: bytes, digest: str, first: tuple[int | None, str | None] | None) -> bytes:
+    """One record, compressed; ``first`` is page and url of the response that a
+    revisit refers to. A revisit keeps the HTTP headers, and in them the payload's
+    length, but not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{ordinal}"
+    block = http if first else http + payload
     fields = [
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{digest}/{ordinal}')}>"),
+        ("WARC-Record-ID", record_id(page, digest, place)),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", target),
+        ("WARC-Target-URI", target_of(url, page)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
         ("Content-Type", "application/http; msgtype=response"),
     ]
     if page is not None:
         fields.append(("Page-Id", str(page)))
-    if revisit:
-        fields.append(("WARC-Profile", PROFILE))
-        if refers_to is not None:
-            fields.append(("Refers-To-Page-Id", str(refers_to)))
-    return squeeze(header("revisit" if revisit else "response", fields, len(block)) + block + b"\r\n\r\n")
+    if first:
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first[0], digest, 0)), ("WARC-Refers-To-Target-URI", target_of(first[1], first[0])), ("WARC-Refers-To-Date", DATE)]
+        if first[0] is not None:
+            fields.append(("Refers-To-Page-Id", str(first[0])))
+    return squeeze(header("revisit" if first else "response", fields, len(block)) + block + b"\r\n\r\n")
 
 
 def squeeze(data: bytes) -> bytes:
@@ -96,16 +105,22 @@ def write_archive(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
     a response, all others are revisits of it; of rows that are equal in key and
     payload the first is taken. Null keys come last and are referred to only if
     no row of the payload has a key; such a revisit names no page. An empty table
-    makes no file. Memory of a task: a batch of rows and one record.
+    makes no file. Other columns are not looked at, whatever their names. Files are
+    written as streams: a task's memory is a batch of rows and one record.
     """
     spark = pages.sparkSession
     own = pick(pages, key=key, url=url, html=html).select(F.col("key").cast("bigint").alias("key"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    sums = own.select("key", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= LEAST_REVISIT).drop("size")
-    first = sums.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    sums = own.select("key", "url", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= LEAST_REVISIT).drop("size")
+    # the least page with its least url; without any key, the least url
+    keyed, named = F.struct("key", F.col("url").alias("lead")), F.struct(F.lit(None).cast("bigint").alias("key"), F.col("url").alias("lead"))
+    first = sums.groupBy("digest").agg(F.min(F.when(F.col("key").isNotNull(), keyed)).alias("a"), F.min(named).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that both sides of the join are dealt out for it alone: Spark can
+    # then split the rows of one very common page
+    first = stage(first.select("digest", F.coalesce("a", "b").alias("f")).select("digest", F.col("f.key").alias("first"), F.col("f.lead").alias("lead")), "first")
     # what each repeated payload refers to travels to the page's place as a row
     # of its own, so that no page's html is moved for it
-    marks = sums.join(first, "digest").groupBy("key", "digest").agg(F.first("first").alias("first"))
-    marks = marks.select("key", "digest", F.lit(0).alias("kind"), "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    marks = sums.join(first, "digest").groupBy("key", "digest").agg(F.first("first").alias("first"), F.first("lead").alias("lead"))
+    marks = marks.select("key", "digest", F.lit(0).alias("kind"), "first", F.col("lead").alias("url"), F.lit(None).cast("string").alias("html"))
     rows = own.select("key", F.sha2("html", 256).alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("first"), "url", "html")
     order = [F.asc_nulls_last("key"), F.col("digest")]
     ranged = marks.unionByName(rows).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "kind", "url")
@@ -113,39 +128,40 @@ def write_archive(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
     files.make_folder(folder)
 
     def run(batches):
-        part, seq, n = TaskContext.get().partitionId(), 0, 0
-        parts: list[bytes] = []
-        size, count = 0, 0
-        mark, done = None, False
+        part, seq = TaskContext.get().partitionId(), 0
+        out, path, count = None, "", 0
+        mark, last, place = None, None, 0
 
-        def close():
-            nonlocal parts, size, count, seq
-            path = f"{folder}/pages-{part:06d}-{seq:06d}.warc.gz"
+        def begin():
             name = f"pages-{part:06d}-{seq:06d}.warc.gz"
             info = b"software: postflock\r\nformat: WARC File Format 1.1\r\n"
-            lead = squeeze(header("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], len(info)) + info + b"\r\n\r\n")
-            whole = hashlib.sha256(lead)
-            for x in parts:
-                whole.update(x)
-            written = files.write(path, [lead, *parts])
-            row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": path, "records": count, "bytes": written, "sha256": whole.hexdigest()}], schema=MANIFEST)
-            parts, size, count, seq = [], 0, 0, seq + 1
-            return row
+            lead = header("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], len(info))
+            made = files.Writer(f"{folder}/{name}")
+            made.write(squeeze(lead + info + b"\r\n\r\n"))
+            return made, f"{folder}/{name}"
+
+        def close():
+            out.commit()
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": path, "records": count, "bytes": out.size, "sha256": out.sha256.hexdigest()}], schema=MANIFEST)
 
         for batch in batches:
             for values in zip(*batch.columns):
                 page, digest, kind, refers, target, text = (x.as_py() for x in values)
                 if kind == 0:
-                    mark, done = (page, digest, refers), False
+                    mark = (page, digest, refers, target)
                     continue
+                # rows equal in key and payload come one after another
+                place, last = place + 1 if last == (page, digest) else 0, (page, digest)
                 known = mark is not None and mark[:2] == (page, digest)
-                revisit = known and (done or mark[2] != page)
-                done = known
-                parts.append(record(page, f"{part}-{n}", target, text.encode(), digest, revisit, mark[2] if revisit else None))
-                n, count, size = n + 1, count + 1, size + len(parts[-1])
-                if size >= file_bytes:
+                first = mark[2:] if known and (place or mark[2] != page) else None
+                if out is None:
+                    (out, path), count = begin(), 0
+                out.write(record(page, place, target, text.encode(), digest, first))
+                count += 1
+                if out.size >= file_bytes:
                     yield close()
-        if parts:
+                    out, seq = None, seq + 1
+        if out is not None:
             yield close()
 
     path = f"{folder}/manifest"

@@ -21,6 +21,24 @@ def test_round_trip(spark):
     assert manifest.count() > 2
 
 
+def test_revisits_name_the_record_that_they_refer_to(spark):
+    rows = [(5, "http://a/b c", "x" * 200), (3, "http://z/", "x" * 200), (3, "http://first/", "x" * 200), (None, "u", "x" * 200), (None, "v", "y" * 150), (None, "u", "y" * 150), (7, None, "short"), (7, None, "short")]
+    manifest = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    found = []
+    for row in manifest.collect():
+        store, place = files.place(row.path)
+        with store.open_input_stream(place, compression=None) as source:
+            found += [fields for fields, _ in warc.records(source)]
+    pages = [x for x in found if x["WARC-Type"] != "warcinfo"]
+    responses = {x["WARC-Record-ID"]: x for x in pages if x["WARC-Type"] == "response"}
+    assert len({x["WARC-Record-ID"] for x in found}) == len(found) and len(pages) == len(rows)
+    revisits = [x for x in pages if x["WARC-Type"] == "revisit"]
+    for x in revisits:
+        to = responses[x["WARC-Refers-To"]]
+        assert (to["WARC-Payload-Digest"], to["WARC-Target-URI"], to["WARC-Date"]) == (x["WARC-Payload-Digest"], x["WARC-Refers-To-Target-URI"], x["WARC-Refers-To-Date"])
+    assert sorted(x["WARC-Refers-To-Target-URI"] for x in revisits) == ["http://first/"] * 3 + ["u"]
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archive(warc.write_archive(pages)).count() == 0
