@@ -54,12 +54,12 @@ class Library:
     the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = special_as_text
         self.size = self.model.get_vocab_size()
         self.wide = "<u2" if self.size <= 1 << 16 else "<u4"
         # the same model for words that are known to be one piece each: their bytes
@@ -178,8 +178,8 @@ class Library:
         return out
 
 
-def library(path: str) -> Library:
-    return once_per_worker(("library", path), lambda: Library(path))
+def library(path: str, special_as_text: bool = False) -> Library:
+    return once_per_worker(("library", path, special_as_text), lambda: Library(path, special_as_text))
 
 
 def _slices(column: pa.Array):
@@ -193,14 +193,14 @@ def _slices(column: pa.Array):
         at = end
 
 
-def encode_ids(docs: DataFrame, tokenizer: str, end_id: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_ids(docs: DataFrame, tokenizer: str, end_id: int, *, key: str = "doc_id", text: str = "text", special_as_text: bool = False) -> DataFrame:
     """key and ids (binary: 16-bit ids where the vocabulary allows, else 32-bit),
     ``end_id`` last. A null text is as an empty one: the end id alone. One more
     row a task has null ids and, in ``counts``, how often each id came in it."""
     source = pick(docs, key=key, text=text).withColumn("key", F.col("key").cast("bigint"))
 
     def run(batches):
-        coder = library(tokenizer)
+        coder = library(tokenizer, special_as_text)
         end = np.array([end_id], coder.wide).tobytes()
         total = np.zeros(coder.size, np.int64)
 
@@ -352,19 +352,24 @@ def read_files(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     return placed.repartition(n_files, "path").mapInArrow(run, f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def write_corpus(docs: DataFrame, tokenizer: str, end_id: int, *, key: str = "doc_id", text: str = "text", limit: int = LIMIT, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write_corpus(docs: DataFrame, tokenizer: str, end_id: int, *, key: str = "doc_id", text: str = "text", limit: int = LIMIT, file_tokens: int = FILE_TOKENS, special_as_text: bool = False) -> DataFrame:
     """Encodes whole texts with the tokenizers library, appends ``end_id``, codes
     the ids by their counts in the whole corpus and writes them in ascending key
     order. Returns the staged manifest of the files.
 
     A null text is as an empty one. Null keys come first; rows with equal keys
     (repeated rows too) all stay, in an order fixed by their ids. An empty table
-    makes no file. Keys are integers. Memory of a task: one file's ids, or one
-    document's if that is longer.
+    makes no file. Keys are integers. Other columns are not looked at, whatever
+    their names. Memory of a task: one file's ids, or one document's if that is
+    longer.
+
+    Strings of special tokens in a text become those tokens' ids, as the library has
+    it by default; with ``special_as_text`` they are text like any other, which is
+    what a corpus from untrusted sources should have.
     """
     spark = docs.sparkSession
     coder = library(tokenizer)
-    encoded = stage(encode_ids(docs, tokenizer, end_id, key=key, text=text), "ids", long_rows=False)
+    encoded = stage(encode_ids(docs, tokenizer, end_id, key=key, text=text, special_as_text=special_as_text), "ids", long_rows=False)
     code = Code(code_lengths(count_ids(encoded, coder.size), max(limit, (coder.size - 1).bit_length())))
     manifest = write_files(encoded, code, coder.wide, new_folder(spark, "tokens"), file_tokens)
     delete(spark, encoded.staged_path)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from tokenizers import Tokenizer
 
 from postflock.llm import files, tokenfile
@@ -35,16 +36,18 @@ def test_round_trip_of_files():
         assert keys == [None, 4, -1, 9] and of_doc.tolist() == lengths and (back == ids).all()
 
 
-def test_corpus(spark):
+@pytest.mark.parametrize("as_text", [False, True])
+def test_corpus(spark, as_text):
     rng = random.Random(4)
-    texts = ["", None, "Hello  world\n ok", "été 日本 12's", "a" * 5000, "x \t y", " lead", "trail ", *(" ".join(rng.choice(["thin", "on,", "ed.\nAt", "€5"]) for _ in range(rng.randint(1, 400))) for _ in range(60))]
+    texts = ["", None, "Hello  world\n ok", "été 日本 12's", "a" * 5000, "x \t y", " lead", "trail ", "<|endoftext|>", "a<|endoftext|>b <|endoftext|> c  <|endoftext|>\n<|endoftext|>.", "x <|endoftext|", *(" ".join(rng.choice(["thin", "on,", "<|endoftext|>s", "ed.\nAt", "€5"]) for _ in range(rng.randint(1, 400))) for _ in range(60))]
     rows = [(None if i == 5 else i // 2 * 2, x, "n") for i, x in enumerate(texts)] + [(2, "same", "n")] * 3
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string, Doc_ID string")
-    manifest = tokenfile.write_corpus(docs, PATH, 2, file_tokens=2000)
+    manifest = tokenfile.write_corpus(docs, PATH, 2, file_tokens=2000, special_as_text=as_text)
     out = tokenfile.read_files(manifest).collect()
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
+    if as_text:  # else as the library has it
+        model.encode_special_tokens = True
     want = sorted((k if k is not None else -1, zlib.crc32(np.array([*model.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for k, x, _ in rows)
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.ids_crc32) for r in out) == want
     out.sort(key=lambda r: r.start)
