@@ -19,7 +19,8 @@ from .core import broadcast_if_small, pick, stage
 
 #: Bits of the key's hash, and as many of the text's.
 BITS = 60
-LIMIT_BYTES = 16 << 20
+#: Small enough that tables of every size are split.
+LIMIT_BYTES = 256 << 10
 #: Depth beyond the even one in the first round, and added by each later one.
 MORE = 4
 #: A directory of at most so many rows is broadcast.
@@ -73,7 +74,8 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES, *, key: str = "doc_id", te
     one key are told apart by their text's hash after the key's 60 bits, so that
     a key with very many rows still splits; rows equal in both, and a text longer
     than the limit, cannot be, and their shard says over_limit. An empty table
-    gives no row.
+    gives no row. Of columns with clashing names those with exactly these names are
+    read. Ties cannot occur: a row's path says where it goes.
     """
     source = pick(docs, key=key, text=text)
     rows = source.select("key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"), F.concat(bits(F.coalesce(F.col("key").cast("string"), F.lit(""))), bits(F.coalesce("text", F.lit("")))).alias("path"), *(["text"] if keep_text else []))
