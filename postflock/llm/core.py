@@ -31,7 +31,9 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 
 def without(docs: DataFrame, gone: DataFrame, key: str, text: str, small: int) -> DataFrame:
     """``docs``, all columns, without the rows of ``gone``, which has the key and
-    rid = xxhash64(key, text) of each; rows of one key with other texts stay."""
+    rid = xxhash64(key, text) of each; rows of one key with other texts stay. Null
+    keys are keys like any other, repeated rows go together, and other columns may
+    have any names."""
     names = [f"c{i}_" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     at = [rows[names[docs.columns.index(x)]] for x in (key, text)]
@@ -84,7 +86,13 @@ def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
     return counts.where(F.lit(False)) if least is None else counts.where(F.col(column) >= least)
 
 
+#: Bytes, as written, of a table that is sent to every task at most.
+SMALL_BYTES = 24 << 20
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
-    """A broadcast hint for a staged table of at most ``rows`` rows, else none."""
-    small = df.limit(rows + 1).count() <= rows
+    """A broadcast hint for a staged table of at most ``rows`` rows and SMALL_BYTES
+    bytes, else none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    small = size <= SMALL_BYTES and df.limit(rows + 1).count() <= rows
     return (F.broadcast(df) if small else df), small

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import broadcast_if_small, pick, stage, without
+from .core import broadcast_if_small, pick, settled, stage, without
 
 WINDOW = 13
 GRAM = 6
@@ -51,9 +51,13 @@ def folded(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
 
 
-def upto(last: Column, body) -> Column:
-    """``body`` of 0, 1, ..., ``last``; an empty array of hashes if that is negative."""
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), body)).otherwise(F.array().cast("array<bigint>"))
+#: A run of words: its place, the length of the window it is looked up for, its hash.
+RUN = "array<struct<at:int,length:int,fp:bigint>>"
+
+
+def upto(last: Column, body, kind: str = "array<bigint>") -> Column:
+    """``body`` of 0, 1, ..., ``last``; an empty array if that is negative."""
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), body)).otherwise(F.array().cast(kind))
 
 
 def gram(hashes: Column, at: Column, length: int) -> Column:
@@ -79,6 +83,7 @@ def word_hashes(text: Column) -> Column:
     return F.transform(split_words(folded(text)), lambda x: F.xxhash64(x))
 
 
+@settled("judged")
 def _judge(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
     """key, rid (of key and text), and the columns of ``contamination``."""
     rows = pick(docs, key=key, text=text).withColumn("key", F.col("key").cast("bigint")).withColumn("rid", F.xxhash64("key", "text"))
@@ -102,24 +107,25 @@ def _judge(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
 
     # documents that share a fingerprint, and which
     found = rows.select("rid", F.explode(let(word_hashes(F.col("text")), lambda h: fingerprints(h, whole, short))).alias("fp"))
-    found = found.join(prints, "fp", "left_semi").groupBy("rid").agg(F.collect_set("fp").alias("m"))
-    found, _ = broadcast_if_small(stage(found, "candidates"), SMALL_DOCS)
-
-    # each hit extended to the windows around it
-    near = rows.join(found, "rid").select("rid", "key", "m", words(F.col("text")).alias("w"))
-
-    def starts(h: Column, m: Column, n: int, length: int) -> Column:
-        hits = F.filter(upto(F.size(h) - n, lambda i: i.cast("bigint")), lambda i: F.array_contains(m, gram(h, i.cast("int"), n)))
-        last = F.size(h).cast("bigint") - length
-        return F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(F.lit(0).cast("bigint"), i - (length - n)), F.least(i, last)))))
+    found = stage(found.join(prints, "fp", "left_semi").distinct(), "candidates")
+    shared, _ = broadcast_if_small(found.select("rid").distinct(), SMALL_DOCS)
+    near = stage(rows.join(shared, "rid", "left_semi").select("rid", "key", words(F.col("text")).alias("w")).dropDuplicates(["rid", "key"]), "near")
 
+    # where in them: all runs of words meet the document's fingerprints in a join
     kinds = ([(GRAM, WINDOW)] if whole else []) + [(n, n) for n in short]
-
-    def pieces(n: int, length: int) -> Column:
-        at = let(own, lambda h: F.when(F.size(h) >= length, starts(h, F.col("m"), n, length)).otherwise(F.array().cast("array<bigint>")))
-        return F.transform(at, lambda s: F.struct(s.cast("int").alias("start"), F.lit(length).alias("length"), F.array_join(F.slice("w", s.cast("int") + 1, length), " ").alias("window")))
-
-    seen = near.select("rid", "key", F.explode(F.concat(*[pieces(*x) for x in kinds])).alias("x")).select("rid", "key", "x.*")
+    run = lambda h, n, length: upto(F.size(h) - n, lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), gram(h, i, n).alias("fp")), RUN)
+    runs = near.select("rid", "key", F.explode(let(own, lambda h: F.concat(*[run(h, *x) for x in kinds]))).alias("x")).select("rid", "key", "x.*")
+    pairs, _ = broadcast_if_small(found, SMALL_BENCH)
+    hits = runs.join(pairs, ["rid", "fp"], "left_semi").groupBy("rid", "key", "length").agg(F.collect_set("at").alias("at"))
+    hits = stage(hits, "at")
+
+    # each hit extended to the windows around it, and these to words
+    last = F.size("w") - F.col("length")
+    back = F.when(F.col("length") == WINDOW, F.lit(WINDOW - GRAM)).otherwise(F.lit(0)) if whole else F.lit(0)
+    around = F.array_distinct(F.flatten(F.transform("at", lambda i: F.when(last >= 0, F.sequence(F.greatest(F.lit(0), i - back), F.greatest(F.lit(0), F.least(i, last)))).otherwise(F.array().cast("array<int>")))))
+    known_at = hits.withColumnRenamed("rid", "r").withColumnRenamed("key", "k")
+    both = near.join(known_at, (near["rid"] == known_at["r"]) & near["key"].eqNullSafe(known_at["k"]))
+    seen = both.select("rid", "key", "length", "w", F.explode(around).alias("start")).select("rid", "key", "start", "length", F.array_join(F.slice("w", F.col("start") + 1, F.col("length")), " ").alias("window"))
     seen = stage(seen, "seen")
     on = ["length", "window"]
     known, _ = broadcast_if_small(windows, SMALL_BENCH)
@@ -148,13 +154,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     A null text has no words and an item without words no window. Repeated rows
     of ``docs`` each get their row; rows of one key with other texts are judged
     by their own. Repeated items count once; a null item id is named by the empty
-    string. Either table may be empty.
+    string. Either table may be empty. Other columns may have any names.
     """
     return _judge(docs, benchmark, key, text, item, item_text).drop("rid").withColumnRenamed("key", key)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs``, all columns, without the contaminated rows."""
+    """``docs``, all columns, without the contaminated rows.
+
+    Rows without words are never contaminated and stay. Repeated rows go together,
+    rows of one key with other texts each by their own; null keys are keys like any
+    other. Either table may be empty, and other columns may have any names."""
     gone = _judge(docs, benchmark, key, text, item, item_text).where("contaminated")
     return without(docs, gone, key, text, SMALL_BENCH)
 

@@ -59,6 +59,16 @@ def test_against_brute_force(spark):
     assert sum(x[2] > 0 for x in got) > 25
 
 
+def test_long_texts_full_of_hits(spark):
+    """A text that is nothing but passages of items, and one in which all words are the
+    same: work grows with the words, not with words times hits."""
+    rng = random.Random(9)
+    pool = [f"w{i}" for i in range(3000)]
+    bench = [(i, " ".join(rng.choices(pool, k=40)), 0) for i in range(300)] + [(900, "same " * 20, 0), (901, "short one", 0)]
+    docs = [(1, " ".join(b[1] for b in bench[:300]) * 3, 0), (2, "same " * 60_000, 0), (3, "same " * 12, 0), (4, "short one " * 5_000, 0), (4, "short one", 0)]
+    assert run(spark, docs, bench) == brute(docs, bench)
+
+
 def test_empty_tables(spark):
     docs, bench = [(1, "a b c", 0), (2, None, 0)], [(1, "a b", 0)]
     assert run(spark, [], bench) == []
