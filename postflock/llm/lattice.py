@@ -46,6 +46,8 @@ MEET = 0.004
 UNLIKE = 0.3
 #: Vectors of a block, groups that are compared one by one, pairs compared at a time.
 BLOCK, LARGE, PAIRS = 2048, 48, 100_000
+#: Rows of block pairs that are compared at a time, at least.
+ROWS = 16_384
 SMALL = 300_000
 NO_KEY = 1 << 62
 
@@ -162,22 +164,23 @@ def large_pairs(unit: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
 
 class Jobs:
     """Rows of block pairs in order, all of one width: a link's first meeting is looked
-    for, and counted."""
+    for, and counted. A vector's cells are computed once for all its rows here."""
 
-    def __init__(self, points: int, unit, job, t, cell, own, part, split, home, weight):
-        self.points, self.unit, self.job, self.t, self.cell = points, unit, job, t, cell
+    def __init__(self, points: int, unit, ids, job, t, cell, own, part, split, home, weight):
+        self.points, self.unit, self.ids, self.job, self.t, self.cell = points, unit, ids, job, t, cell
         self.own, self.part, self.split, self.home, self.weight = own, part, split, home, weight
+        self.n, self.up = np.zeros(len(job)), np.arange(len(job))
 
-    def links(self):
-        """Arrays (i, j) of linked pairs of rows that are counted here."""
+    def close(self):
+        """Index arrays of pairs at the threshold."""
         starts = np.flatnonzero(np.diff(self.job, prepend=-1))
         sizes = np.diff(np.append(starts, len(self.job)))
         for i, j in all_pairs(starts, sizes):
             i, j = self._may_count(i, j)
-            close = np.einsum("ij,ij->i", self.unit[i], self.unit[j]) >= THRESHOLD
-            yield from self._counted(i[close], j[close])
+            near = np.einsum("ij,ij->i", self.unit[i], self.unit[j]) >= THRESHOLD
+            yield i[near], j[near]
         for i, j in large_pairs(self.unit, starts, sizes):
-            yield from self._counted(*self._may_count(i, j))
+            yield self._may_count(i, j)
 
     def _may_count(self, i, j):
         """Without pairs that do not meet here, that another block pair has, or that
@@ -185,36 +188,54 @@ class Jobs:
         keep = (self.own[i] | self.own[j]) & (~self.split[i] | (self.part[i] != self.part[j])) & ((self.t[i] == 0) | (self.home[i] != self.home[j]))
         return i[keep], j[keep]
 
-    def _counted(self, i, j):
-        sure = (self.t[i] == 0) & self.own[i] & self.own[j]
-        if sure.any():
-            yield i[sure], j[sure]
-        i, j = i[~sure], j[~sure]
-        for at in range(0, len(i), PAIRS):
-            x, y = i[at : at + PAIRS], j[at : at + PAIRS]
-            rows, place = np.unique(np.concatenate([x, y]), return_inverse=True)
-            known = cells(self.unit[rows], self.points, int(self.t[x].max()) + 1)
-            for low in range(0, len(x), 5_000):
-                here = slice(low, low + 5_000)
-                a, b = known[place[: len(x)][here]], known[place[len(x) :][here]]
-                # by table: the own cell of either, where the other is shown too
-                first = (a[:, :, :1] == b).any(2)
-                second = (b[:, :, :1] == a).any(2)
-                n, t = np.arange(len(a)), self.t[x[here]]
-                earlier = ((first | second) & (np.arange(a.shape[1]) < t[:, None])).any(1)
-                most = np.iinfo(np.int64).max
-                least = np.minimum(np.where(first[n, t], a[n, t, 0], most), np.where(second[n, t], b[n, t, 0], most))
-                counted = ~earlier & (least == self.cell[x[here]])
-                yield x[here][counted], y[here][counted]
+    def _count(self, i, j):
+        self.n += np.bincount(i, self.weight[j], len(self.n)) + np.bincount(j, self.weight[i], len(self.n))
+        self.up = gathered(len(self.n), i, j, self.up)
+
+    def _settle(self, waiting: list):
+        """Counts those of the pairs that meet here first."""
+        if not waiting:
+            return
+        i, j = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        ids, first_row, place = np.unique(self.ids[np.concatenate([i, j])], return_index=True, return_inverse=True)
+        known = cells(self.unit[np.concatenate([i, j])[first_row]], self.points, int(self.t[i].max()) + 1)
+        at, to = place[: len(i)], place[len(i) :]
+        # most have met in an own cell of both: by the first table where that is so
+        own = np.ascontiguousarray(known[:, :, 0].T)
+        new = np.ones(len(i), bool)
+        for table in range(len(own) - 1):
+            left = np.flatnonzero(new & (self.t[i] > table))
+            new[left[own[table][at[left]] == own[table][to[left]]]] = False
+        i, j, at, to = i[new], j[new], at[new], to[new]
+        for low in range(0, len(i), 5_000):
+            here = slice(low, low + 5_000)
+            a, b = known[at[here]], known[to[here]]
+            # by table: the own cell of either, where the other is shown too
+            first = (a[:, :, :1] == b).any(2)
+            second = (b[:, :, :1] == a).any(2)
+            n, t = np.arange(len(a)), self.t[i[here]]
+            earlier = ((first | second) & (np.arange(a.shape[1]) < t[:, None])).any(1)
+            most = np.iinfo(np.int64).max
+            least = np.minimum(np.where(first[n, t], a[n, t, 0], most), np.where(second[n, t], b[n, t, 0], most))
+            counted = ~earlier & (least == self.cell[i[here]])
+            self._count(i[here][counted], j[here][counted])
 
     def run(self):
         """(rows, first row of the group of each, number of links) where there are links."""
-        n, up = np.zeros(len(self.job)), np.arange(len(self.job))
-        for i, j in self.links():
-            n += np.bincount(i, self.weight[j], len(n)) + np.bincount(j, self.weight[i], len(n))
-            up = gathered(len(n), i, j, up)
-        rows = np.flatnonzero(n)
-        return rows, up[rows], n[rows].astype(np.int64)
+        waiting, size = [], 0
+        for i, j in self.close():
+            sure = (self.t[i] == 0) & self.own[i] & self.own[j]
+            self._count(i[sure], j[sure])
+            if not sure.all():
+                waiting.append((i[~sure], j[~sure]))
+                size += int((~sure).sum())
+            if size > 20 * PAIRS:
+                self._settle(waiting)
+                size = 0
+        self._settle(waiting)
+        rows = np.flatnonzero(self.n)
+        return rows, self.up[rows], self.n[rows].astype(np.int64)
 
 
 SHOWN = "id bigint, t int, cell bigint, own boolean, home bigint"
@@ -276,7 +297,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
         for batch in batches:
             batch = pa.Table.from_batches([batch])
             held = batch if held is None else pa.concat_tables([held, batch])
-            if len(held) < 2:
+            if len(held) < ROWS:
                 continue
             names = np.stack([held.column(x).to_numpy() for x in group], 1)
             ends = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
@@ -295,7 +316,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
             names = np.stack([cell, low, high], 1)
             job = np.concatenate([[0], np.cumsum((names[1:] != names[:-1]).any(1))])
             unit = units(data.column("v").combine_chunks())
-            rows, to, n = Jobs(points, unit, job, t, cell, own, part, low != high, home, w).run()
+            rows, to, n = Jobs(points, unit, id_, job, t, cell, own, part, low != high, home, w).run()
             yield pa.RecordBatch.from_arrays([pa.array(id_[rows]), pa.array(id_[to]), pa.array(n)], names=["a", "b", "n"])
 
     found = stage(dealt.mapInArrow(compare, "a bigint, b bigint, n bigint"), "links")
