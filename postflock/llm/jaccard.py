@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .core import broadcast_if_small, most_frequent, once_per_worker, partitions, pick, stage, without
-
+from .core import broadcast_if_small, most_frequent, once_per_worker, partitions, pick, settled, stage, without
 
 
 class Likeness(NamedTuple):
@@ -50,6 +49,8 @@ LONG_LIST, LONG_LISTS = 40, 100_000
 #: The largest boundary that is tried, and rows of a list against one of a subset.
 MOST_SMALL, LIST_COST = 24, 3
 SMALL = 300_000
+#: Members of a list that meet in one group.
+BLOCK = 1024
 #: Node of a row without key; keys must be less.
 NO_KEY = 1 << 62
 CACHE = 200_000
@@ -316,6 +317,7 @@ def verify(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     return stage(both.mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
+@settled("grouped")
 def _grouped(docs: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     """key, rid (of key and text), n, node: the least node of the row's component,
     null for a row without shingles."""
@@ -354,11 +356,17 @@ def _grouped(docs: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     # pairs from different components of a list
     known, _ = broadcast_if_small(found.withColumnRenamed("id", "node"), SMALL)
     inside = stage(lists.join(known, F.col("id") == F.col("node"), "left").select("b", "kind", "id", "n", "pos", F.coalesce("component", "id").alias("c")), "members")
-    mixed = stage(inside.groupBy("b", "kind").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("b", "kind"), "mixed")
+    mixed = inside.groupBy("b", "kind").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    mixed = stage(mixed.select("b", "kind", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "mixed")
     mixed, _ = broadcast_if_small(mixed, SMALL)
-    members = inside.join(mixed, ["b", "kind"], "left_semi")
-    left = members.select("b", "kind", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
-    cross = left.join(members, (left["b"] == members["b"]) & (left["kind"] == members["kind"]) & (F.col("x") < F.col("id")) & (F.col("cx") != F.col("c")) & fits("nx", "px", "n", "pos", like))
+    # a long list is dealt out as pairs of blocks of its members
+    parted = inside.join(mixed, ["b", "kind"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = parted.select("b", "kind", "id", "n", "pos", "c", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
+    left = members.select("b", "kind", "one", "two", F.col("part").alias("partx"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
+    place = ["b", "kind", "one", "two"]
+    once = (F.col("one") == F.col("two")) | (F.col("partx") != F.col("part"))
+    cross = left.join(members, place).where(once & (F.col("x") < F.col("id")) & (F.col("cx") != F.col("c")) & fits("nx", "px", "n", "pos", like))
     cross = cross.select(F.col("x").alias("a"), F.col("id").alias("b")).distinct()
     cross = stage(may_be_similar(cross.join(checked, ["a", "b"], "left_anti"), classes, like), "pairs")
     if not cross.isEmpty():
@@ -376,7 +384,8 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links. Rows with equal sets are one set from the start. A row without key
     links like any other, but its key is no component's name: a group of such
     rows alone has a null component_id. Rows of one key with other texts are
-    joined. Keys are integers below 2**62. An empty table gives no row.
+    joined. Keys are integers below 2**62. An empty table gives no row. Other
+    columns are not looked at, whatever their names.
     """
     name = F.when(F.col("node") < NO_KEY, F.col("node")).when(F.col("node").isNull(), F.col("key"))
     return _grouped(docs, key, text, like).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), name.alias("component_id"))
@@ -385,8 +394,10 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", like: Likeness = OP8) -> DataFrame:
     """``docs``, all columns, with one row of each group of similar ones: that of
     the least key (of equal keys, of the least hash of the text; rows without key
-    come last). Of rows that are repeated one stays. Rows without shingles stay."""
-    rows = stage(_grouped(docs, key, text, like).where("node IS NOT NULL"), "groups")
+    come last). Of rows that are repeated one stays. Rows without shingles, those of
+    null, empty or blank texts, stay. Other columns may have any names; an empty
+    table stays empty."""
+    rows = _grouped(docs, key, text, like).where("node IS NOT NULL")
     first = rows.groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("f"))
     first = first.select(F.col("f.key").alias("k"), F.col("f.rid").alias("r"))
     same = (F.col("rid") == F.col("r")) & F.col("key").eqNullSafe(F.col("k"))

@@ -69,6 +69,7 @@ def test_against_all_pairs(spark):
 
 def test_lists_of_long_lists(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LONG_LIST", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
     rows = corpus(random.Random(5), 300)
     assert run(spark, rows) == brute(rows)
 
