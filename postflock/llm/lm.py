@@ -8,11 +8,12 @@ vector, plus a bias. Inside a class a word has its share of the class's tokens
 by the counts of the whole training corpus, with one added to each word and one
 more for unseen ones, so that all probabilities add up to one.
 
-All pairs of neighbouring classes of the training corpus are counted in Spark;
-there are at most K * K different ones, whatever its size. Training draws pairs
-by these counts against noise drawn by the classes' own counts. One batched
-matrix product then gives the normalised log-probabilities of all classes after
-all contexts, and scoring a text is looking them up.
+The model grows with the corpus: it has more classes, by a power of the number of
+tokens, and each token of each training text is learnt from once. Tasks read their
+texts in rounds; in each, every task goes on from the same parameters, and their
+results are averaged, a class's by how often the task met it. The normalising sums
+after all contexts come from batched matrix products; scoring a text then takes
+one product of two vectors a token.
 """
 
 from __future__ import annotations
@@ -21,17 +22,22 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import key_crc, most_frequent, pick, stage
+from .core import key_crc, most_frequent, partitions, pick, settled, stage
 
-#: Words with a class of their own, classes of other words by their ending.
-FREQUENT, ENDINGS = 768, 255
-#: Words whose counts every task holds.
+#: Classes are CLASSES * tokens ** GROWTH; three in four are words of their own.
+CLASSES, GROWTH = 16, 0.4
+#: Words whose counts every task holds; more only if more have classes.
 COMMON = 200_000
-#: Width, noise samples of a batch, pairs of a batch, batches.
-WIDTH, NOISE, BATCH, STEPS = 32, 256, 2048, 3000
+#: Width, noise samples of a batch, pairs of a batch, rate.
+WIDTH, NOISE, BATCH, RATE = 32, 64, 512, 0.1
+#: Shares of the texts, of a hundred, that are learnt from in each round.
+ROUNDS = (10, 30, 60)
+#: Classes whose parameters are one row of a table.
+CHUNK = 512
 LN10 = float(np.log(10))
 
 
@@ -41,7 +47,7 @@ def split(text: str | None) -> list[bytes]:
 
 
 class Classes:
-    def __init__(self, frequent: list[bytes], endings: int = ENDINGS):
+    def __init__(self, frequent: list[bytes], endings: int):
         self.of = {w: i for i, w in enumerate(frequent)}
         self.first, self.endings = len(frequent), endings
         self.end = self.first + endings
@@ -55,52 +61,90 @@ class Classes:
         return self.other(word) if found is None else found
 
 
+def classes_for(tokens: int) -> tuple[int, int]:
+    """Words with classes of their own, and classes of endings."""
+    size = max(8, int(CLASSES * tokens**GROWTH))
+    return size * 3 // 4, size - size * 3 // 4 - 1
+
+
 class NoiseContrastive:
-    """s(h, w) = (R[h] C) . Q[w] + b[w], trained to tell pairs from noise."""
+    """s(h, w) = (R[h] C) . Q[w] + b[w], trained to tell pairs from noise. ``unigram``
+    has each class's share of all tokens. Each row keeps the sum of its squared
+    gradients, by which its steps get smaller."""
 
-    def __init__(self, size: int, width: int, seed: int = 1):
-        rng = np.random.default_rng(seed)
+    def __init__(self, unigram: np.ndarray, width: int = WIDTH, seed: int = 1):
+        rng, size = np.random.default_rng(seed), len(unigram)
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        self.p = {"R": draw(size, width), "C": np.eye(width, dtype=np.float32), "Q": draw(size, width), "b": np.zeros(size, np.float32)}
-        self.rng, self.squares = rng, {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
-
-    def train(self, context: np.ndarray, target: np.ndarray, count: np.ndarray, steps: int = STEPS, batch: int = BATCH, noise: int = NOISE, rate: float = 0.2) -> None:
-        p, rng, size = self.p, self.rng, len(self.p["b"])
-        unigram = np.bincount(target, count, size) + 1e-3 * count.sum() / size
-        unigram /= unigram.sum()
-        log_noise = np.log(noise * unigram).astype(np.float32)
-        p["b"][:] = np.log(unigram)
-        pairs, words = np.cumsum(count) / count.sum(), np.cumsum(unigram)
-        for step in range(steps):
-            at = np.minimum(np.searchsorted(pairs, rng.random(batch)), len(pairs) - 1)
-            h, w = context[at], target[at]
-            k = np.minimum(np.searchsorted(words, rng.random(noise)), size - 1)
-            c = p["R"][h]
-            v = c @ p["C"]
-            # probability that a pair is data, of the pairs and of the shared noise
-            up = 1 / (1 + np.exp(np.clip((v * p["Q"][w]).sum(1) + p["b"][w] - log_noise[w], -30, 30)))
-            down = -1 / (1 + np.exp(-np.clip(v @ p["Q"][k].T + p["b"][k] - log_noise[k], -30, 30)))
-            dv = up[:, None] * p["Q"][w] + down @ p["Q"][k]
-            grads = {"C": c.T @ dv, "R": (h, dv @ p["C"].T), "Q": (np.concatenate([w, k]), np.concatenate([up[:, None] * v, down.T @ v])), "b": (np.concatenate([w, k]), np.concatenate([up, down.sum(0)]))}
-            now = rate * (1 - step / steps) + 0.01
-            for name, g in grads.items():
-                if isinstance(g, tuple):
-                    where, g = g
-                    order = np.argsort(where, kind="stable")
-                    firsts = np.flatnonzero(np.diff(where[order], prepend=-1))
-                    rows, total = where[order[firsts]], np.add.reduceat(g[order], firsts, axis=0)
-                else:
-                    rows, total = slice(None), g
-                total /= batch
-                self.squares[name][rows] += total**2
-                p[name][rows] += now * total / np.sqrt(self.squares[name][rows])
-
-    def log_probabilities(self) -> np.ndarray:
-        """ln P(w | h) of all classes after all contexts (h, w)."""
+        self.unigram = unigram / unigram.sum()
+        self.p = {"R": draw(size, width), "Q": draw(size, width), "b": np.log(self.unigram).astype(np.float32)[:, None], "C": np.eye(width, dtype=np.float32)}
+        self.squares = {k: np.full(len(v) if k != "C" else v.shape, 1e-6, np.float32) for k, v in self.p.items()}
+        self.met = {k: np.zeros(size) for k in "RQ"}
+
+    def begin(self, seed: int) -> None:
+        """Ready to learn: noise is drawn by ``seed``, what is met is counted anew."""
+        self.rng, self.words = np.random.default_rng(seed), np.cumsum(self.unigram)
+        for x in self.met.values():
+            x[:] = 0
+
+    def learn(self, h: np.ndarray, w: np.ndarray, noise: int = NOISE, rate: float = RATE) -> None:
+        """One step on pairs of a context and the class after it."""
         p = self.p
-        s = (p["R"] @ p["C"]) @ p["Q"].T + p["b"]
-        s -= s.max(1, keepdims=True)
-        return s - np.log(np.exp(s).sum(1, keepdims=True))
+        k = np.minimum(np.searchsorted(self.words, self.rng.random(noise)), len(self.words) - 1)
+        log_noise = lambda x: np.log(noise * self.unigram[x]).astype(np.float32)
+        c = p["R"][h]
+        v, qw, qk = c @ p["C"], p["Q"][w], p["Q"][k]
+        # probability that a pair is data, of the pairs and of the shared noise
+        up = 1 / (1 + np.exp(np.clip((v * qw).sum(1) + p["b"][w, 0] - log_noise(w), -30, 30)))
+        down = -1 / (1 + np.exp(-np.clip(v @ qk.T + p["b"][k, 0] - log_noise(k), -30, 30)))
+        dv = up[:, None] * qw + down @ qk
+        both = np.concatenate([w, k])
+        grads = [("R", h, dv @ p["C"].T), ("Q", both, np.concatenate([up[:, None] * v, down.T @ v])), ("b", both, np.concatenate([up, down.sum(0)])[:, None])]
+        of_c = c.T @ dv / len(h)
+        for name, where, g in grads:
+            order = np.argsort(where, kind="stable")
+            firsts = np.flatnonzero(np.diff(where[order], prepend=-1))
+            rows, total = where[order[firsts]], np.add.reduceat(g[order], firsts, axis=0) / len(h)
+            self.squares[name][rows] += (total * total).mean(1)
+            p[name][rows] += rate * total / np.sqrt(self.squares[name][rows])[:, None]
+            if name in self.met:
+                self.met[name][rows] += np.diff(np.append(firsts, len(where)))
+        self.squares["C"] += of_c**2
+        p["C"] += rate * of_c / np.sqrt(self.squares["C"])
+
+    def log_sums(self, some: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """ln of the sum over all classes of exp s(h, w), for some contexts h."""
+        out = []
+        for context in np.array_split(self.p["R"][some], max(1, len(self.p["R"][some]) // 256)):
+            s = (context @ self.p["C"]) @ self.p["Q"].T + self.p["b"][:, 0]
+            most = s.max(1, keepdims=True, initial=-np.inf)
+            out.append((most + np.log(np.exp(s - most).sum(1, keepdims=True)))[:, 0])
+        return np.concatenate(out)
+
+    # a task's result, and the average of all tasks', as rows of CHUNK classes
+
+    def rows(self):
+        """(chunk, weighted sums of parameters); the last row is the matrix's."""
+        size, times = len(self.unigram), {"R": self.met["R"], "Q": self.met["Q"], "b": self.met["Q"]}
+        for at in range(0, size, CHUNK):
+            part = slice(at, at + CHUNK)
+            cells = [times[x][part, None] * np.concatenate([np.ones_like(self.squares[x][part, None]), self.squares[x][part, None], self.p[x][part]], 1) for x in "RQb"]
+            yield at // CHUNK, np.concatenate(cells, 1).astype("<f8")
+        total = self.met["R"].sum()
+        yield -1, total * np.concatenate([np.ones((len(self.p["C"]), 1)), self.squares["C"], self.p["C"]], 1).astype("<f8")
+
+    def take(self, chunk: int, sums: np.ndarray) -> None:
+        """The average in place of a chunk's parameters; what no task met stays."""
+        width = len(self.p["C"])
+        if chunk < 0:
+            if sums[0, 0] > 0:
+                self.squares["C"], self.p["C"] = ((sums[:, a:b] / sums[:, :1]).astype(np.float32) for a, b in ((1, 1 + width), (1 + width, None)))
+            return
+        at = 0
+        for name, n in (("R", width), ("Q", width), ("b", 1)):
+            some = np.flatnonzero(sums[:, at] > 0)
+            mean = sums[some, at : at + 2 + n] / sums[some, at, None]
+            self.squares[name][chunk * CHUNK + some], self.p[name][chunk * CHUNK + some] = mean[:, 1], mean[:, 2:]
+            at += 2 + n
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -123,25 +167,6 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def count_pairs(docs: DataFrame, classes: Classes) -> DataFrame:
-    """(h, w, n): how often class w follows class h; texts begin after the end."""
-    size = classes.size
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
-
-    def run(batches):
-        own = shared.value
-        known: dict[bytes, int] = dict(own.of)
-        total = np.zeros(size * size, np.int64)
-        for batch in batches:
-            for value in batch.column(0):
-                seq = _classes(own, known, split(value.as_py()))
-                np.add.at(total, np.concatenate([[own.end], seq[:-1]]) * size + seq, 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at // size), pa.array(at % size), pa.array(total[at])], names=["h", "w", "n"])
-
-    return docs.select("text").mapInArrow(run, "h bigint, w bigint, n bigint").groupBy("h", "w").agg(F.sum("n").alias("n"))
-
-
 def _classes(own: Classes, known: dict[bytes, int], words: list[bytes]) -> np.ndarray:
     """Classes of the words of a text and of its end."""
     try:
@@ -158,33 +183,98 @@ def _classes(own: Classes, known: dict[bytes, int], words: list[bytes]) -> np.nd
     return np.array(found, np.int64)
 
 
-def train_table(pairs: DataFrame, size: int) -> np.ndarray:
-    """log10 P(w | h) of all classes, from counted pairs. There are at most size *
-    size of these, and one task trains on them in a fixed order, with the one
-    thread that Spark gives it."""
+def train_round(docs: DataFrame, classes: Classes, net: NoiseContrastive, number: int) -> None:
+    """Lets tasks go on from ``net`` on their part of the texts ``docs`` (text), each
+    token once, and takes the average. Tasks are as many as cores, and some more, so
+    that what they send back is small against what they read."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((classes, net))
 
     def run(batches):
-        data = [np.stack([x.to_numpy() for x in batch.columns], 1) for batch in batches]
-        h, w, n = np.concatenate([np.zeros((0, 3), np.int64), *data]).T
-        net = NoiseContrastive(size, WIDTH)
-        if len(n):
-            net.train(h, w, n.astype(float))
-        rows = (net.log_probabilities() / LN10).astype("<f4")
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["h", "row"])
+        own, start = shared.value
+        start.begin(1_000_003 * number + TaskContext.get().partitionId())
+        known, held, size = dict(own.of), [], 0
+
+        def steps(all_of_them: bool):
+            nonlocal held, size
+            pairs = np.concatenate(held, 1)
+            end = pairs.shape[1] if all_of_them else pairs.shape[1] // BATCH * BATCH
+            for at in range(0, end, BATCH):
+                start.learn(*pairs[:, at : min(at + BATCH, end)])
+            held, size = [pairs[:, end:]], pairs.shape[1] - end
 
-    made = stage(pairs.repartition(1).sortWithinPartitions("h", "w").mapInArrow(run, "h bigint, row binary"), "table")
-    rows = sorted((r.h, bytes(r.row)) for r in made.collect())
-    if not rows:  # nothing to learn from
-        return np.full((size, size), -np.log10(size), np.float32)
-    return np.frombuffer(b"".join(x for _, x in rows), "<f4").reshape(size, size)
+        for batch in batches:
+            for value in batch.column(0):
+                seq = _classes(own, known, split(value.as_py()))
+                held.append(np.stack([np.concatenate([[own.end], seq[:-1]]), seq]))
+                size += len(seq)
+                if size > 100 * BATCH:
+                    steps(False)
+        if size:
+            steps(True)
+            found = list(start.rows())
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["chunk", "sums"])
+
+    def add(batches):
+        here, total = None, None
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = np.frombuffer(data.as_buffer(), "<f8")
+                if chunk != here:
+                    if here is not None:
+                        yield row(here, total)
+                    here, total = chunk, np.zeros(len(values))
+                total = total + values
+        if here is not None:
+            yield row(here, total)
+
+    def row(chunk, total):
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "sums"])
+
+    schema = "chunk int, sums binary"
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    made = stage(docs.select("text").coalesce(tasks).mapInArrow(run, schema), "steps")
+    # rows of a chunk are as many as tasks, and are added up one by one
+    for r in stage(made.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(add, schema), "round").collect():
+        sums = np.frombuffer(bytes(r.sums), "<f8")
+        width = 2 * len(net.p["C"]) + 1 if r.chunk < 0 else 2 * len(net.p["C"]) + 7
+        net.take(r.chunk, sums.reshape(-1, width))
+
+
+def normalise(docs: DataFrame, net: NoiseContrastive) -> np.ndarray:
+    """ln of the normalising sum after each context, computed by all tasks."""
+    spark, size = docs.sparkSession, len(net.unigram)
+    shared = spark.sparkContext.broadcast(net)
+
+    def run(batches):
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                sums = shared.value.log_sums(slice(at, at + CHUNK))
+                yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(len(sums))), pa.array(sums.astype(float))], names=["h", "z"])
+
+    out = np.zeros(size)
+    for r in stage(spark.range(0, size, CHUNK, partitions(spark)).mapInArrow(run, "h bigint, z double"), "sums").collect():
+        out[r.h] = r.z
+    return out
 
 
 class Model:
-    """What scoring needs and every task holds: bounded by FREQUENT, ENDINGS and COMMON."""
+    """What scoring needs and every task holds. Its size is a power of the corpus's
+    less than a half, and the counts of the COMMON words."""
 
-    def __init__(self, classes, table, common, total, distinct, share):
-        self.classes, self.table, self.common = classes, table, common
-        self.total, self.distinct, self.share = total, distinct, share
+    def __init__(self, classes, net, sums, common, total, distinct, share):
+        self.classes, self.common, self.total, self.distinct, self.share = classes, common, total, distinct, share
+        # natural logarithms: before[h] . after[w] + bias[w] - sums[h]
+        self.before, self.after, self.bias, self.sums = net.p["R"] @ net.p["C"], net.p["Q"], net.p["b"][:, 0], sums
+
+    def logs(self, seq: np.ndarray) -> np.ndarray:
+        """log10 P(class | class before) of the classes of a text, from its start on."""
+        out = np.empty(len(seq))
+        for at in range(0, len(seq), 1 << 16):  # long texts piece by piece
+            w = seq[at : at + (1 << 16)]
+            h = np.concatenate([seq[at - 1 : at] if at else [self.classes.end], w[:-1]])
+            out[at : at + len(w)] = np.einsum("ij,ij->i", self.before[h], self.after[w]) + self.bias[w] - self.sums[h]
+        return out / LN10
 
 
 def learn(docs: DataFrame, texts: int) -> tuple[Model, DataFrame]:
@@ -194,33 +284,40 @@ def learn(docs: DataFrame, texts: int) -> tuple[Model, DataFrame]:
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # the end is a token like a word, one for each text
     total, distinct = sums[0] + texts, sums[1] + int(texts > 0)
-    top = sorted(((bytes(r.word), r.c) for r in most_frequent(counts, "c", COMMON).collect()), key=lambda x: (-x[1], x[0]))
-    classes = Classes([w for w, _ in top[:FREQUENT]])
-    table = train_table(count_pairs(docs, classes), classes.size)
-    # tokens and words of each class: log10 of what a share is divided by
-    endings = _class_sizes(counts, classes)
+    own, endings = classes_for(total)
+    top = sorted(((bytes(r.word), r.c) for r in most_frequent(counts, "c", max(COMMON, own)).collect()), key=lambda x: (-x[1], x[0]))
+    classes = Classes([w for w, _ in top[:own]], endings)
+    # of each class of endings: tokens, and tokens with one more for each word
+    tokens, more = _class_sizes(counts, classes)
+    unigram = np.concatenate([[c for _, c in top[:own]], tokens, [texts]]) + 0.5
+    net = NoiseContrastive(unigram)
+    turn = F.pmod(F.xxhash64("text"), F.lit(100))
+    for number, share in enumerate(ROUNDS if texts else ()):
+        low = sum(ROUNDS[:number])
+        train_round(docs.where((turn >= low) & (turn < low + share)), classes, net, number)
     share = np.zeros(classes.size)
-    share[classes.first : classes.end] = np.log10(endings + 1)
-    return Model(classes, table, dict(top), total, distinct, share), counts
+    share[classes.first : classes.end] = np.log10(more + 1)
+    return Model(classes, net, normalise(docs, net), dict(top), total, distinct, share), counts
 
 
-def _class_sizes(counts: DataFrame, classes: Classes) -> np.ndarray:
+def _class_sizes(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     shared = counts.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
-        own, out = shared.value, np.zeros(classes.endings)
+        own, out = shared.value, np.zeros((2, classes.endings))
         for batch in batches:
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if word not in own.of:
-                    out[own.other(word) - own.first] += c + 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["k", "v"])
+                    out[:, own.other(word) - own.first] += c, c + 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.shape[1])), pa.array(out[0]), pa.array(out[1])], names=["k", "c", "v"])
 
-    total = np.zeros(classes.endings)
-    for r in counts.mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-        total[r.k] = r.v
-    return total
+    total = np.zeros((2, classes.endings))
+    for r in counts.mapInArrow(run, "k bigint, c double, v double").groupBy("k").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():
+        total[:, r.k] = r.c, r.v
+    return total[0], total[1]
 
 
+@settled("lm-scores")
 def score_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out: tuple[int, int] = (7, 2)) -> DataFrame:
     """A row for each row of ``docs``: key, held_out, n_tokens (with the end),
     n_known, train_tokens, base_score (add-one unigrams), score (the model's log10
@@ -229,8 +326,13 @@ def score_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", he
     All documents are learnt from but those whose crc32 of the key is r modulo m
     for ``held_out`` = (m, r); a null key is never held out. A null or empty text
     is an end alone. Rows that are repeated count as often as they stand there.
-    With no document to learn from the counts are zero and classes are alike.
-    Texts are scored whole; the words of one text are held at a time.
+    With no document to learn from the counts are zero and no class is told from
+    another by its context. Texts are scored whole; the words of one text are held at
+    a time. Words that are equally frequent go by their bytes. Other columns are not
+    looked at, whatever their names; an empty table gives no row.
+
+    Tasks learn on their own between the rounds, so that ``score`` depends somewhat
+    on how the table is dealt out to them; all else does not.
     """
     rows = pick(docs, key=key, text=text)
     held = key_crc(F.col("key"), held_out[0]) == held_out[1]
@@ -243,7 +345,7 @@ def score_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", he
 
     def run(batches):
         m = shared.value
-        known, end, size, table, share = dict(m.classes.of), m.classes.end, m.classes.size, m.table.ravel(), m.share
+        known, share = dict(m.classes.of), m.share
         for batch in batches:
             n_tokens, n_known, base, own, rare, times = [], [], [], [], [], []
             for value in batch.column(1):
@@ -261,7 +363,7 @@ def score_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", he
                 # the end was seen as often as texts were learnt from
                 base.append(float(logs.sum()) + log_texts)
                 # words that share a class have their part of it
-                own.append(float(table[np.concatenate([[end], seq[:-1]]) * size + seq].sum(dtype=float) - share[seq].sum() + logs[seq[:-1] >= m.classes.first].sum()))
+                own.append(float(m.logs(seq).sum() - share[seq].sum() + logs[seq[:-1] >= m.classes.first].sum()))
                 rare.append(list(seen))
                 times.append(list(seen.values()))
             columns = [*batch.columns[::2], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]

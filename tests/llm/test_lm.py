@@ -33,8 +33,8 @@ def test_counts_and_base(spark, monkeypatch):
     rows = corpus(rng, 300) + [(900, None, 0), (901, "", 0), (None, "the of", 0), (902, "long " * 50_000, 0)]
     rows += [rows[3]] * 3
     monkeypatch.setattr(lm, "COMMON", 40)
-    monkeypatch.setattr(lm, "FREQUENT", 8)
-    monkeypatch.setattr(lm, "STEPS", 400)
+    monkeypatch.setattr(lm, "CLASSES", 1)
+    monkeypatch.setattr(lm, "CHUNK", 7)
     out = run(spark, rows)
     held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
     counts = Counter(w for k, t, _ in rows if not held(k) for w in words(t))
@@ -52,12 +52,13 @@ def test_counts_and_base(spark, monkeypatch):
 
 
 def test_probabilities_add_up(spark, monkeypatch):
-    monkeypatch.setattr(lm, "FREQUENT", 4)
-    monkeypatch.setattr(lm, "STEPS", 50)
+    monkeypatch.setattr(lm, "CLASSES", 1)
+    monkeypatch.setattr(lm, "CHUNK", 5)
     docs = spark.createDataFrame(corpus(random.Random(2), 60), "doc_id long, text string, other int").select("text")
     model, counts = lm.learn(docs, 60)
-    table = 10.0 ** model.table.astype(float)
-    assert np.allclose(table.sum(1), 1, atol=1e-4)
+    size = model.classes.size
+    after = [sum(10 ** model.logs(np.array([h, w]))[1] for w in range(size)) for h in range(size)]
+    assert np.allclose(after, 1, atol=1e-4)
     inside = Counter()
     for r in counts.collect():
         k = model.classes.get(bytes(r.word))
@@ -67,10 +68,47 @@ def test_probabilities_add_up(spark, monkeypatch):
 
 
 def test_training_finds_neighbours():
-    h, w = np.array([0, 1, 2, 3]), np.array([1, 0, 3, 2])
-    net = lm.NoiseContrastive(4, 8)
-    net.train(h, w, np.array([5.0, 5, 5, 5]), steps=800, batch=256, noise=16)
-    assert (net.log_probabilities()[h, w] > np.log(0.8)).all()
+    h, w = np.array([0, 1, 2, 3] * 64), np.array([1, 0, 3, 2] * 64)
+    net = lm.NoiseContrastive(np.ones(4), 8)
+    net.begin(1)
+    for _ in range(800):
+        net.learn(h, w, noise=16)
+    s = (net.p["R"] @ net.p["C"]) @ net.p["Q"].T + net.p["b"][:, 0] - net.log_sums()[:, None]
+    assert (s[h[:4], w[:4]] > np.log(0.8)).all() and np.allclose(np.exp(s).sum(1), 1)
+
+
+def test_average_of_tasks_is_by_what_they_met():
+    start = lm.NoiseContrastive(np.ones(6), 4)
+    nets = []
+    for seed, h, w in ((1, [0, 1], [1, 2]), (2, [0, 0, 3], [4, 4, 4])):
+        net = lm.NoiseContrastive(np.ones(6), 4)
+        net.begin(seed)
+        net.learn(np.array(h), np.array(w), noise=2)
+        nets.append(net)
+    total = {}
+    for net in nets:
+        for chunk, sums in net.rows():
+            total[chunk] = total.get(chunk, 0) + sums
+    out = lm.NoiseContrastive(np.ones(6), 4)
+    for chunk, sums in total.items():
+        out.take(chunk, sums)
+    a, b = nets
+    assert np.allclose(out.p["R"][0], (a.p["R"][0] + 2 * b.p["R"][0]) / 3, atol=1e-6)
+    assert np.allclose(out.p["R"][1], a.p["R"][1], atol=1e-6) and np.allclose(out.p["R"][3], b.p["R"][3], atol=1e-6)
+    assert (out.p["R"][5] == start.p["R"][5]).all()
+    assert np.allclose(out.p["C"], (2 * a.p["C"] + 3 * b.p["C"]) / 5, atol=1e-6)
+
+
+def test_the_model_grows_with_the_corpus():
+    sizes = [sum(lm.classes_for(n)) for n in (10**4, 10**6, 10**8, 10**10, 10**13)]
+    assert all(b > 5 * a for a, b in zip(sizes, sizes[1:]))
+
+
+def test_held_out_texts_of_the_test_tables(spark):
+    """Texts that were not learnt from are more probable than by their words alone, by
+    more than half a power of ten for every two tokens."""
+    out = lm.score_corpus(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
+    assert (out.s - out.b) / out.n > 0.2
 
 
 def test_empty(spark):
