@@ -28,13 +28,19 @@ SAMPLE = 500
 ROUNDS = 3
 #: Added to each piece's expected count in each language.
 SMOOTH = 0.02
-#: Words of more bytes are summed one by one, with rescaling.
-LONG = 48
+#: Words of more bytes are summed in logarithms, and so are those of which a sum is
+#: less than TINY: no word is too long or too rare.
+LONG, TINY = 48, 1e-280
+#: Words of more bytes are scored byte by byte, and cut there before they are learnt
+#: from, so that no table grows with a word.
+CUT = 4096
 #: Distinct words whose probabilities a worker keeps.
 CACHE = 300_000
-#: Words whose lattices are built at a time.
-STEP = 5_000
+#: Bytes of words, all as long as the longest, whose lattices are built at a time.
+STEP = 250_000
 UNKNOWN = "und"
+#: Nats a letter by which a text in a learnt language is above the background.
+LEAST_GAIN = 0.0
 #: More rejected documents than this are not broadcast.
 SMALL = 300_000
 
@@ -82,11 +88,12 @@ class Lattice:
         self.n, self.length = len(words), np.array([len(x) for x in words], np.int64)
         self.word, self.start, self.end, self.piece = (np.array(x, np.int32) for x in (word_of, starts, ends, piece))
 
-    def _sums(self, p: np.ndarray, at: np.ndarray, come: np.ndarray, first: np.ndarray, places) -> np.ndarray:
+    def _sums(self, p: np.ndarray, at: np.ndarray, come: np.ndarray, first: np.ndarray, places, logs: bool) -> np.ndarray:
         """Adds up paths place by place: the edges with ``at`` == place, each with
-        the sum where it comes from."""
-        out = np.zeros((self.length.max(initial=0) + 1, self.n, p.shape[0]))
-        out[first, np.arange(self.n)] = 1
+        the sum where it comes from. With ``logs``, p and sums are logarithms."""
+        shape = (self.length.max(initial=0) + 1, self.n, p.shape[0])
+        out = np.full(shape, -np.inf) if logs else np.zeros(shape)
+        out[first, np.arange(self.n)] = 0 if logs else 1
         order = np.lexsort((self.word, at))
         cuts = np.searchsorted(at[order], np.arange(len(out) + 1))
         for place in places(len(out)):
@@ -94,22 +101,43 @@ class Lattice:
             if len(edges):
                 word = self.word[edges]
                 firsts = np.flatnonzero(np.diff(word, prepend=-1))
-                out[place, word[firsts]] += np.add.reduceat(out[come[edges], word] * p[:, self.piece[edges]].T, firsts)
+                before, step = out[come[edges], word], p[:, self.piece[edges]].T
+                # an edge never ends where its word begins, so that nothing is there yet
+                out[place, word[firsts]] = np.logaddexp.reduceat(before + step, firsts) if logs else np.add.reduceat(before * step, firsts)
         return out
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        return self._sums(p, self.end, self.start, np.zeros(self.n, np.int64), lambda n: range(1, n))
+    def forward(self, p: np.ndarray, logs: bool = False) -> np.ndarray:
+        return self._sums(p, self.end, self.start, np.zeros(self.n, np.int64), lambda n: range(1, n), logs)
 
-    def backward(self, p: np.ndarray) -> np.ndarray:
-        return self._sums(p, self.start, self.end, self.length, lambda n: range(n - 2, -1, -1))
+    def backward(self, p: np.ndarray, logs: bool = False) -> np.ndarray:
+        return self._sums(p, self.start, self.end, self.length, lambda n: range(n - 2, -1, -1), logs)
 
-    def totals(self, p: np.ndarray) -> np.ndarray:
-        return self.forward(p)[self.length, np.arange(self.n)]
+    def totals(self, p: np.ndarray, logs: bool = False) -> np.ndarray:
+        return self.forward(p, logs)[self.length, np.arange(self.n)]
+
+    def is_long(self) -> bool:
+        return bool(self.length.max(initial=0) > LONG)
+
+
+def batches_of(words: list[bytes]) -> list[np.ndarray]:
+    """Places of words, short ones first, in batches of bounded size."""
+    order = np.argsort([len(x) for x in words], kind="stable")
+    out, at = [], 0
+    while at < len(order):
+        # all are as long as the batch's last: find how many fit
+        end = at + 1
+        limit = LONG if len(words[order[at]]) <= LONG else CUT
+        while end < len(order) and len(words[order[end]]) <= limit and (end + 1 - at) * len(words[order[end]]) <= STEP:
+            end += 1
+        out.append(order[at:end])
+        at = end
+    return out
 
 
 def long_log(trie: dict, data: bytes, p: np.ndarray) -> np.ndarray:
     """log of the forward sum of one word of any length; sums are rescaled at
-    each byte and only as many kept as the longest piece needs."""
+    each byte and only as many kept as the longest piece needs. Each single byte is
+    a piece, so that every place is reached."""
     n, scale = p.shape[0], np.zeros(p.shape[0])
     waiting: dict[int, np.ndarray] = {0: np.ones(n)}
     for start in range(len(data)):
@@ -128,40 +156,51 @@ def long_log(trie: dict, data: bytes, p: np.ndarray) -> np.ndarray:
             token, node = found
             if token >= 0:
                 waiting[end] = waiting.get(end, 0) + here * p[:, token]
-    return scale + np.log(np.maximum(waiting.get(len(data), np.zeros(n)), 1e-300))
+    return scale + np.log(waiting[len(data)])
+
+
+def shares(lattice: Lattice, p: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How probable it is that each edge is on the way of its word, in the language
+    that ``of`` gives for the word."""
+    edge, words = of[lattice.word], np.arange(lattice.n)
+    if not lattice.is_long():
+        a, b = lattice.forward(p), lattice.backward(p)
+        total = a[lattice.length, words, of]
+        if (total > TINY).all():
+            return a[lattice.start, lattice.word, edge] * p[edge, lattice.piece] * b[lattice.end, lattice.word, edge] / total[lattice.word]
+    logs = np.log(p)
+    a, b = lattice.forward(logs, True), lattice.backward(logs, True)
+    return np.exp(a[lattice.start, lattice.word, edge] + logs[edge, lattice.piece] + b[lattice.end, lattice.word, edge] - a[lattice.length, words, of][lattice.word])
 
 
 def fit(counts: list[tuple[str, str, int]], languages: list[str], vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities (languages, pieces) from counts of (language, word)."""
     trie, size = pieces(vocabulary)
     place = {x: i for i, x in enumerate(languages)}
-    rows = [(place[lang], (" " + word).encode(), n) for lang, word, n in counts]
-    rows = [x for x in rows if len(x[1]) <= LONG]
+    rows = [(place[lang], data[at : at + CUT], n) for lang, word, n in counts for data in [(" " + word).encode()] for at in range(0, len(data), CUT)]
     language, weight = np.array([x[0] for x in rows], np.int64), np.array([x[2] for x in rows], float)
     p = np.full((len(languages), size), 1 / size)
-    step = STEP
-    lattices = [Lattice(trie, [x[1] for x in rows[at : at + step]]) for at in range(0, len(rows), step)]
+    lattices = [(some, Lattice(trie, [rows[i][1] for i in some])) for some in batches_of([x[1] for x in rows])]
     for turn in range(rounds + 1):
         expected = np.zeros_like(p)
-        for k, lattice in enumerate(lattices):
-            of, n = language[k * step : (k + 1) * step], weight[k * step : (k + 1) * step]
-            edge = of[lattice.word]
+        for some, lattice in lattices:
+            of = language[some]
             if turn == 0:  # from all pieces alike: how often each occurs, by its length
-                share = n[lattice.word] * (lattice.end - lattice.start)
+                share = (lattice.end - lattice.start).astype(float)
             else:
-                a, b = lattice.forward(p), lattice.backward(p)
-                total = a[lattice.length, np.arange(lattice.n), of]
-                share = a[lattice.start, lattice.word, edge] * p[edge, lattice.piece] * b[lattice.end, lattice.word, edge] * (n / np.maximum(total, 1e-300))[lattice.word]
-            expected += np.bincount(edge.astype(np.int64) * size + lattice.piece, share, len(languages) * size).reshape(expected.shape)
+                share = shares(lattice, p, of)
+            expected += np.bincount(of[lattice.word] * size + lattice.piece, share * weight[some][lattice.word], len(languages) * size).reshape(expected.shape)
         p = (expected + SMOOTH) / (expected.sum(1, keepdims=True) + SMOOTH * size)
     return p
 
 
 class Scorer:
     def __init__(self, languages: list[str], p: np.ndarray, vocabulary: str):
-        self.languages, self.p, self.trie = languages, p, pieces(vocabulary)[0]
+        trie, size = pieces(vocabulary)
+        # after the languages: all pieces alike, the background of texts in none of them
+        self.languages, self.p, self.trie = languages, np.concatenate([p, np.full((1, size), 1 / size)]), trie
         self.kept: dict[str, int] = {}
-        self.logs = np.zeros((1 << 14, len(languages)))
+        self.logs = np.zeros((1 << 14, len(self.p)))
 
     def _learn(self, words: list[str]) -> None:
         if len(self.kept) + len(words) > CACHE:
@@ -169,19 +208,25 @@ class Scorer:
         while len(self.kept) + len(words) > len(self.logs):
             self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
         data = [(" " + x).encode() for x in words]
-        short = [i for i, x in enumerate(data) if len(x) <= LONG]
-        logs = np.empty((len(words), len(self.languages)))
-        for at in range(0, len(short), STEP):
-            some = short[at : at + STEP]
-            logs[some] = np.log(np.maximum(Lattice(self.trie, [data[i] for i in some]).totals(self.p), 1e-300))
+        logs = np.empty((len(words), len(self.p)))
+        inside = np.flatnonzero([len(x) <= CUT for x in data])
+        for batch in batches_of([data[i] for i in inside]):
+            lattice, some = Lattice(self.trie, [data[i] for i in inside[batch]]), inside[batch]
+            found = None if lattice.is_long() else lattice.totals(self.p)
+            if found is None or (found <= TINY).any():
+                logs[some] = lattice.totals(np.log(self.p), True)
+            else:
+                logs[some] = np.log(found)
         for i, x in enumerate(data):
-            if len(x) > LONG:
+            if len(x) > CUT:
                 logs[i] = long_log(self.trie, x, self.p)
         base = len(self.kept)
         self.logs[base : base + len(words)] = logs
         self.kept.update(zip(words, range(base, base + len(words))))
 
-    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def score(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, posterior, gain) of each text; the gain is by how much its
+        logarithm is above the background's, for each letter."""
         found = [words_of(x) for x in texts]
         out = []
         new = {x for row in found for x in row if x not in self.kept}
@@ -190,12 +235,13 @@ class Scorer:
         self._learn(list(new))
         for row in found:
             if not row or not self.languages:
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, 0.0))
                 continue
             sums = self.logs[np.fromiter(map(self.kept.__getitem__, row), np.int64, len(row))].sum(0)
-            weights = np.exp(sums - sums.max())
-            best = int(sums.argmax())
-            out.append((self.languages[best], float(weights[best] / weights.sum())))
+            of, background = sums[:-1], sums[-1]
+            weights = np.exp(of - of.max())
+            best = int(of.argmax())
+            out.append((self.languages[best], float(weights[best] / weights.sum()), float(of[best] - background) / sum(map(len, row))))
         return out
 
 
@@ -204,7 +250,9 @@ def learn(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str =
     ``sample`` documents of each language (a share of each by the hash of key and
     text, so that copies and one key's rows count like any other). With
     ``held_out`` (m, r), documents whose crc32 of the key is r modulo m are not
-    learnt from, nor are those without text or language."""
+    learnt from, nor are those without text or language. Repeated rows count as
+    often as they stand there, null keys are never held out, and a word counts
+    whatever its length. An empty table gives no language."""
     source = pick(docs, key=key, text=text, lang=lang).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     if held_out:
         source = source.where(key_crc(F.col("key"), held_out[0]) != held_out[1])
@@ -231,16 +279,22 @@ def learn(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str =
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str, *, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row of ``docs``: key, the columns ``also``, lang_pred, score
-    (the posterior of the predicted language under equal priors, 0 to 1). A text
-    that is null or has no letter, and any text if no language was learnt, gets
-    ``und`` and 0. Texts count whole, whatever their length."""
+    (the posterior of the predicted language under equal priors, 0 to 1) and gain
+    (how far the text's log-probability under that language is above that under
+    all pieces alike, in nats a letter).
+
+    A text that is null or has no letter, and any text if no language was learnt,
+    gets ``und`` and zeros. Texts count whole, whatever their length. Of languages
+    that are equally probable the first by name is predicted. Keys are handed on as
+    they are, null or not; repeated rows each get their row, and an empty table
+    gives none. Other columns are not looked at, whatever their names."""
     languages, p = model
     name = f"langid {hash((tuple(languages), p.tobytes()))}"
     shared = docs.sparkSession.sparkContext.broadcast((languages, p.astype(np.float32)))
     rows = pick(docs, text_=text, **{x: x for x in (key, *also)})
     fields = rows.schema.fields[1:]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-    names = [f.name for f in fields] + ["lang_pred", "score"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, gain double"
+    names = [f.name for f in fields] + ["lang_pred", "score", "gain"]
 
     def run(batches):
         learnt, values = shared.value
@@ -254,18 +308,24 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: s
                     found += scorer.score(waiting)
                     waiting, size = [], 0
             found += scorer.score(waiting)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
-def accept(docs: DataFrame, vocabulary: str, *, least: float = 0.5, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """``docs``, all columns, without the rows that have no letter or whose best
-    language is less probable than ``least``. The model is learnt from ``docs``;
-    if no row has a language, only rows without letters go."""
+def accept(docs: DataFrame, vocabulary: str, *, least: float = 0.5, gain: float = LEAST_GAIN, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """``docs``, all columns, without the rows that have no letter, whose best language
+    is less probable than ``least``, or that no language explains better by ``gain``
+    than the background does: letters of scripts that were not learnt, and noise. The
+    model is learnt from ``docs``; if no row has a language, only rows without letters
+    go.
+
+    Null and empty texts have no letter. Repeated rows stay or go together, rows of
+    one key with other texts each by their own; null keys are keys like any other.
+    Other columns may have any names. An empty table stays empty."""
     model = learn(docs, vocabulary, key=key, text=text, lang=lang, held_out=None)
     rows = pick(docs, key=key, text=text).withColumn("key", F.col("key").cast("bigint")).withColumn("rid", F.xxhash64("key", "text"))
     found = identify(rows, model, vocabulary, key="key", also=("rid",))
     # texts themselves do not pass through Python again: what goes is few
-    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)) if model[0] else rows.where(~F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)))
+    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least) | (F.col("gain") < gain)) if model[0] else rows.where(~F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)))
     return without(docs, gone, key, text, SMALL)
