@@ -29,15 +29,16 @@ def components(links: DataFrame) -> DataFrame:
         least = stage(_least(both, "a", "b").select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = stage(large, "large-star")
-        # small star: u and its smaller neighbours hang on the least of them
-        smaller = stage(_least(large, "a", "b"), "least")
+        # small star: u and its smaller neighbours, which are few by now, hang on the
+        # least of them
+        smaller = _least(large, "a", "b")
         hung = large.join(smaller, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = stage(hung.unionByName(smaller.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "small-star")
         # at rest: stars alone, each leaf on one centre and no centre on anything
         per_node = small.select(F.col("a").alias("x"), F.lit(1).alias("n")).unionByName(small.select(F.col("b").alias("x"), F.lit(0).alias("n")).distinct())
         ends = per_node.groupBy("x").agg(F.sum("n").alias("up"), F.min("n").alias("low"))
         moved = not ends.where("up > 1 OR (up = 1 AND low = 0)").isEmpty()
-        for old in (edges, large, least, smaller):
+        for old in (edges, large, least):
             delete(old.sparkSession, old.staged_path)
         edges = small
         if not moved:
