@@ -61,8 +61,10 @@ def clean_posts(posts: DataFrame, terms: DataFrame | None = None, term: str = "t
     # a hashtag is its own key, which no word equals
     kept = raw.join(stems, F.coalesce("word", "tag") == F.col("w"), "left").select("ts", "user_name", "h1", "h2", "pos", F.coalesce("tag", "s").alias("term")).where("term IS NOT NULL")
     lists = kept.groupBy("ts", "user_name", "h1", "h2").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("all"))
-    once = lists.select("ts", "user_name", F.array_distinct("all").alias("x"), F.size("all").alias("n"))
-    rows = once.select("ts", "user_name", F.array_join(F.col("x.term"), " ").alias("text"), F.explode(F.sequence(F.lit(1), (F.col("n") / F.size("x")).cast("int"))).alias("copy"))
+    # each place stands there once for each of the equal posts
+    copies = lists.withColumn("n", F.size(F.filter("all", lambda x: x["pos"] == F.col("all")[0]["pos"])))
+    once = F.filter("all", lambda x, i: i % F.col("n") == 0)
+    rows = copies.select("ts", "user_name", F.array_join(F.transform(once, lambda x: x["term"]), " ").alias("text"), F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
     return rows.select("ts", "user_name", "text")
 
 
