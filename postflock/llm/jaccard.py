@@ -263,12 +263,25 @@ def postings(reps: DataFrame, docs: DataFrame, heavy: np.ndarray, small: int, li
     return made.where("kind >= 0").unionByName(stage(again, "postings"))
 
 
+def alike(n1: str, n2: str, like: Likeness) -> F.Column:
+    """Whether sets of these sizes may be similar."""
+    return F.least(n1, n2) * like.den >= F.greatest(n1, n2) * like.num
+
+
 def fits(n1: str, p1: str, n2: str, p2: str, like: Likeness) -> F.Column:
     """Whether sets with a common element at these places may be similar, if it is
     their first common one."""
-    size = (F.least(n1, n2) * like.den >= F.greatest(n1, n2) * like.num)
     room = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2))
-    return size & (room * (like.num + like.den) >= (F.col(n1) + F.col(n2)) * like.num)
+    return alike(n1, n2, like) & (room * (like.num + like.den) >= (F.col(n1) + F.col(n2)) * like.num)
+
+
+def reach(shared: str, n1: str, n2: str, like: Likeness) -> F.Column:
+    """Whether sets of which so many listed elements are common may be similar. Lists
+    hold each set's first elements in one order. Of the set whose listed part ends
+    first, every common element that is not counted comes after that part."""
+    # a whole number: n without its listed elements, ceil(num n / den) - 1
+    after = lambda n: F.floor((F.col(n) * like.num + like.den - 1) / like.den) - 1
+    return (F.col(shared) + F.greatest(after(n1), after(n2))) * (like.num + like.den) >= (F.col(n1) + F.col(n2)) * like.num
 
 
 def may_be_similar(pairs: DataFrame, classes: DataFrame, like: Likeness, *more: str) -> DataFrame:
@@ -345,11 +358,12 @@ def _grouped(docs: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     hubs = stage(other.groupBy("b", "kind").agg(*pivot).where("size > 1"), "hubs")
     hubs, _ = broadcast_if_small(hubs, SMALL)
     lists = stage(light.unionByName(other.join(hubs, ["b", "kind"]).select(light.columns)).select("b", "id", "n", "pos", "kind", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")), "lists")
-    near = lists.where((F.col("id") != F.col("pid")) & fits("n", "pos", "pn", "ppos", like)).groupBy(F.col("id").alias("a"), F.col("pid").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    near = may_be_similar(near, classes, like, "shared").select(F.col("a").alias("id"), F.col("b").alias("pid"), "shared")
-    # of a set's pivots the one with which it shares the most lists
+    near = lists.where((F.col("id") != F.col("pid")) & fits("n", "pos", "pn", "ppos", like)).groupBy("id", "pid").agg(F.count(F.lit(1)).alias("shared"))
+    # of a set's pivots the one with which it shares the most lists; what that misses
+    # is found below
     best = near.groupBy("id").agg(F.max_by("pid", F.struct("shared", -F.col("pid"))).alias("pid"))
-    pairs = stage(best.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct(), "pairs")
+    best = stage(best.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct(), "best")
+    pairs = stage(may_be_similar(best, classes, like), "pairs")
     links, checked = verify(pairs, texts, like), pairs
     found = components(links)
 
@@ -366,8 +380,11 @@ def _grouped(docs: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     left = members.select("b", "kind", "one", "two", F.col("part").alias("partx"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
     place = ["b", "kind", "one", "two"]
     once = (F.col("one") == F.col("two")) | (F.col("partx") != F.col("part"))
-    cross = left.join(members, place).where(once & (F.col("x") < F.col("id")) & (F.col("cx") != F.col("c")) & fits("nx", "px", "n", "pos", like))
-    cross = cross.select(F.col("x").alias("a"), F.col("id").alias("b")).distinct()
+    cross = left.join(members, place).where(once & (F.col("x") < F.col("id")) & (F.col("cx") != F.col("c")) & alike("nx", "n", like))
+    # all common lists of two sets in different components are here: they tell how many
+    # of the sets' listed elements are common, and so how many elements can be at most
+    cross = cross.groupBy(F.col("x").alias("a"), F.col("id").alias("b")).agg(F.count_if(F.col("kind") < 2).alias("shared"), F.max("kind").alias("kind"), F.bool_or(fits("nx", "px", "n", "pos", like)).alias("fit"), F.first("nx").alias("nx"), F.first("n").alias("n"))
+    cross = cross.where("fit").where((F.col("kind") == 2) | reach("shared", "nx", "n", like)).select("a", "b")
     cross = stage(may_be_similar(cross.join(checked, ["a", "b"], "left_anti"), classes, like), "pairs")
     if not cross.isEmpty():
         found = components(links.unionByName(verify(cross, texts, like)))
