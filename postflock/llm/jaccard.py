@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .core import broadcast_if_small, most_frequent, once_per_worker, partitions, pick, settled, stage, without
+from .core import broadcast_if_small, delete, most_frequent, once_per_worker, partitions, pick, settled, stage, without
 
 
 class Likeness(NamedTuple):
@@ -232,7 +232,9 @@ def long_lists(classes: DataFrame, docs: DataFrame, small: int, like: Likeness)
     return np.unique(np.concatenate([heavy, more]))
 
 
-def postings(reps: DataFrame, docs: DataFrame, heavy: np.ndarray, small: int, like: Likeness) -> DataFrame:
+def postings(reps: DataFrame, docs: DataFrame, heavy: np.ndarray, small: int, like: Likeness) -> tuple[DataFrame, DataFrame]:
+    """Two staged tables: rows from the first elements, of which those of kind -1 only say
+    that more are needed, and rows of the sets that need more, from their texts."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most 2 LONG_LISTS
 
     def from_first(batches):
@@ -260,7 +262,25 @@ def postings(reps: DataFrame, docs: DataFrame, heavy: np.ndarray, small: int, li
     made = stage(reps.select("id", "n", "first").mapInArrow(from_first, POSTINGS), "postings")
     short, _ = broadcast_if_small(made.where("kind = -1").select("id").distinct(), SMALL)
     again = docs.join(short, docs["key"] == short["id"], "left_semi").dropDuplicates(["key", "text"]).mapInArrow(from_text, POSTINGS)
-    return made.where("kind >= 0").unionByName(stage(again, "postings"))
+    return made, stage(again, "postings")
+
+
+def pivoted(posts: DataFrame, *by: str) -> DataFrame:
+    """Lists of more than one set: (by, p, size), p being the list's first set."""
+    return posts.groupBy(*by).agg(F.min(F.struct("pos", "id", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
+
+
+def light_lists(posts: DataFrame) -> DataFrame:
+    """Rows of kind 0 that meet others, with their pivots. Both sides of the join ask for
+    the same columns, so that the rows are dealt out once for both."""
+    dealt = posts.where("kind = 0").select("b", "id", "n", "pos").repartition(partitions(posts.sparkSession), "b")
+    return dealt.join(pivoted(dealt, "b"), "b").withColumn("kind", F.lit(0))
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes staged tables from which nothing more is read."""
+    for x in tables:
+        delete(x.sparkSession, x.staged_path)
 
 
 def alike(n1: str, n2: str, like: Likeness) -> F.Column:
@@ -327,7 +347,9 @@ def verify(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
                 keep.append(common * like.den >= like.num * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stage(both.mapInArrow(compare, "a bigint, b bigint"), "links")
+    links = stage(both.mapInArrow(compare, "a bigint, b bigint"), "links")
+    drop(sets)
+    return links
 
 
 @settled("grouped")
@@ -336,28 +358,29 @@ def _grouped(docs: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     null for a row without shingles."""
     spark = docs.sparkSession
     rows = pick(docs, key=key, text=text).select(F.col("key").cast("bigint").alias("key"), "text")
-    made = stage(sketch(rows.withColumn("rid", F.xxhash64("key", "text")), like), "sketches")
+    wide = stage(sketch(rows.withColumn("rid", F.xxhash64("key", "text")), like), "sketches")
+    made = stage(wide.drop("first", "cells"), "rows")
     # a row without key gets a node that no key has; its text is found by it
     unkeyed = made.where("key IS NULL AND n > 0").limit(1).count() > 0
     node = F.coalesce("key", F.col("d1").bitwiseAND(F.lit(NO_KEY - 1)).bitwiseOR(F.lit(NO_KEY)))
-    own = made.withColumn("node", node)
+    own = wide.withColumn("node", node)
     texts = rows.where("key IS NOT NULL")
     if unkeyed:
         texts = texts.unionByName(_node_texts(rows.where("key IS NULL"), like))
     classes = stage(own.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("node").alias("id"), F.first("first").alias("first"), F.first("cells").alias("cells")), "classes")
+    drop(wide)
     sizes = {r.n: r["count"] for r in classes.where(F.col("n") <= 2 * MOST_SMALL).groupBy("n").count().collect()}
     small = boundary(partial(rows_made, sizes, like))
     heavy = long_lists(classes, texts, small, like)
-    posts = postings(classes, texts, heavy, small, like)
+    first, more = postings(classes, texts, heavy, small, like)
+    posts = first.where("kind >= 0").unionByName(more)
 
     # lists of more than one set, each with a pivot
-    pivot = [F.min(F.struct("pos", "id", "n")).alias("p"), F.count(F.lit(1)).alias("size")]
-    dealt = posts.where("kind = 0").repartition(partitions(spark), "b")
-    light = dealt.join(dealt.groupBy("b").agg(*pivot).where("size > 1"), "b")
-    other = posts.where("kind > 0")
-    hubs = stage(other.groupBy("b", "kind").agg(*pivot).where("size > 1"), "hubs")
+    light, other = light_lists(posts), posts.where("kind > 0")
+    hubs = stage(pivoted(other, "b", "kind"), "hubs")
     hubs, _ = broadcast_if_small(hubs, SMALL)
     lists = stage(light.unionByName(other.join(hubs, ["b", "kind"]).select(light.columns)).select("b", "id", "n", "pos", "kind", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")), "lists")
+    drop(first, more)
     near = lists.where((F.col("id") != F.col("pid")) & fits("n", "pos", "pn", "ppos", like)).groupBy("id", "pid").agg(F.count(F.lit(1)).alias("shared"))
     # of a set's pivots the one with which it shares the most lists; what that misses
     # is found below
@@ -370,6 +393,7 @@ def _grouped(docs: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     # pairs from different components of a list
     known, _ = broadcast_if_small(found.withColumnRenamed("id", "node"), SMALL)
     inside = stage(lists.join(known, F.col("id") == F.col("node"), "left").select("b", "kind", "id", "n", "pos", F.coalesce("component", "id").alias("c")), "members")
+    drop(lists)
     mixed = inside.groupBy("b", "kind").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     mixed = stage(mixed.select("b", "kind", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "mixed")
     mixed, _ = broadcast_if_small(mixed, SMALL)
@@ -386,11 +410,12 @@ def _grouped(docs: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     cross = cross.groupBy(F.col("x").alias("a"), F.col("id").alias("b")).agg(F.count_if(F.col("kind") < 2).alias("shared"), F.max("kind").alias("kind"), F.bool_or(fits("nx", "px", "n", "pos", like)).alias("fit"), F.first("nx").alias("nx"), F.first("n").alias("n"))
     cross = cross.where("fit").where((F.col("kind") == 2) | reach("shared", "nx", "n", like)).select("a", "b")
     cross = stage(may_be_similar(cross.join(checked, ["a", "b"], "left_anti"), classes, like), "pairs")
+    drop(inside)
     if not cross.isEmpty():
         found = components(links.unionByName(verify(cross, texts, like)))
     named, _ = broadcast_if_small(found.withColumnRenamed("id", "of"), SMALL)
     placed = classes.join(named, F.col("id") == F.col("of"), "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
-    return made.drop("first", "cells").join(placed, ["n", "d1", "d2"], "left").select("key", "rid", "n", F.col("component").alias("node"))
+    return made.join(placed, ["n", "d1", "d2"], "left").select("key", "rid", "n", F.col("component").alias("node"))
 
 
 def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", like: Likeness = OP8) -> DataFrame:

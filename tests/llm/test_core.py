@@ -1,6 +1,8 @@
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from postflock.llm import core
 from postflock.sources import staging
@@ -45,3 +47,17 @@ def test_one_thing_is_kept_per_worker():
     assert core.once_per_worker("x", list) is first
     core.once_per_worker("y", list)
     assert core.once_per_worker("x", list) is not first
+
+
+def test_a_written_table_leaves_nothing_shuffled(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+    held = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = shuffled()
+    out = core.stage(held, "counts")
+    assert sorted(r["count"] for r in out.collect()) == [142] + [143] * 6
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before

@@ -1,5 +1,7 @@
+import os
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -81,6 +83,34 @@ def test_boundaries(spark, monkeypatch):
         assert run(spark, rows) == brute(rows)
 
 
+def test_postings_are_dealt_out_once(spark):
+    rows = [(b, i, 9, b % 4, 0) for i in range(40) for b in range(i % 7, 60, 5)] + [(1, 1, 9, 0, 1)]
+    found = jaccard.light_lists(jaccard.stage(spark.createDataFrame(rows, jaccard.POSTINGS), "postings"))
+    of = Counter(b for b, *_, kind in rows if kind == 0)
+    first = {b: min((p, i, n) for x, i, n, p, kind in rows if x == b and kind == 0) for b in of}
+    want = sorted((b, i, n, p, kind, first[b], of[b]) for b, i, n, p, kind in rows if kind == 0 and of[b] > 1)
+    assert sorted((r.b, r.id, r.n, r.pos, r.kind, tuple(r.p), r.size) for r in found.collect()) == want
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+
+
+def test_tables_go_when_they_are_read(spark, monkeypatch):
+    real, made, there = jaccard.stage, {}, {}
+
+    def stage(df, name, *more):
+        there[name] = {x for x, paths in made.items() if any(os.path.exists(p) for p in paths)}
+        out = real(df, name, *more)
+        made.setdefault(name, []).append(out.staged_path.removeprefix("file://"))
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", stage)
+    rows = corpus(random.Random(8), 200)
+    assert run(spark, rows) == brute(rows)
+    assert "sketches" in there["classes"] and "sketches" not in there["postings"]
+    assert "postings" in there["lists"] and not {"postings", "sketches"} & there["best"]
+    assert "lists" in there["members"] and not {"lists", "sets"} & there["mixed"]
+
+
 def test_empty(spark):
     assert run(spark, []) == [] and run(spark, [(1, "", 0)]) == [(1, 0, 1)]
 
