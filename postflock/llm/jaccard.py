@@ -260,7 +260,8 @@ def postings(reps: DataFrame, docs: DataFrame, heavy: np.ndarray, small: int, li
                 yield _rows(found)
 
     made = stage(reps.select("id", "n", "first").mapInArrow(from_first, POSTINGS), "postings")
-    short, _ = broadcast_if_small(made.where("kind = -1").select("id").distinct(), SMALL)
+    # written first: their number, not that of all postings, decides whether texts are moved
+    short, _ = broadcast_if_small(stage(made.where("kind = -1").select("id").distinct(), "short"), SMALL)
     again = docs.join(short, docs["key"] == short["id"], "left_semi").dropDuplicates(["key", "text"]).mapInArrow(from_text, POSTINGS)
     return made, stage(again, "postings")
 

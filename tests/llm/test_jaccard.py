@@ -5,8 +5,9 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from postflock.llm import jaccard
+from postflock.llm import core, jaccard
 from postflock.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -111,6 +112,22 @@ def test_tables_go_when_they_are_read(spark, monkeypatch):
     assert "lists" in there["members"] and not {"lists", "sets"} & there["mixed"]
 
 
+def test_texts_of_few_sets_are_not_dealt_out(spark, monkeypatch):
+    """Sets that need more than their first elements are found by their number, however
+    many postings there are."""
+    monkeypatch.setattr(core, "SMALL_BYTES", 8_000)
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(400)), 0) for i in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "key long, text string")
+    classes = jaccard.stage(docs.withColumn("rid", F.lit(0).cast("long")).transform(jaccard.sketch, jaccard.OP8), "classes").withColumn("id", F.col("key"))
+    heavy = np.sort(np.concatenate([jaccard.shingles(t, 3)[:60] for _, t, _ in rows[:3]]))
+    plans, real = [], jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, name: (plans.append((name, df)), real(df, name))[1])
+    first, more = jaccard.postings(classes, docs, heavy, 0, jaccard.OP8)
+    assert first.where("kind = -1").count() == 3 and {r.id for r in more.collect()} == {0, 1, 2}
+    assert int(str(first._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 8_000
+    assert "ResolvedHint (strategy=broadcast)" in plans[-1][1]._jdf.queryExecution().analyzed().toString()
+
+
 def test_empty(spark):
     assert run(spark, []) == [] and run(spark, [(1, "", 0)]) == [(1, 0, 1)]
 
