@@ -19,6 +19,7 @@ one product of two vectors a token.
 from __future__ import annotations
 
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -105,16 +106,18 @@ class NoiseContrastive:
         np.divide(-1, down, out=down)
         dv = up[:, None] * qw + down @ qk
         both = np.concatenate([w, k])
-        grads = [("R", h, dv @ p["C"].T), ("Q", both, np.concatenate([up[:, None] * v, down.T @ v])), ("b", both, np.concatenate([up, down.sum(0)])[:, None])]
+        grads = [(h, {"R": dv @ p["C"].T}), (both, {"Q": np.concatenate([up[:, None] * v, down.T @ v]), "b": np.concatenate([up, down.sum(0)])[:, None]})]
         of_c = c.T @ dv / len(h)
-        for name, where, g in grads:
+        for where, of in grads:
             order = np.argsort(where, kind="stable")
             firsts = np.flatnonzero(np.diff(where[order], prepend=-1))
-            rows, total = where[order[firsts]], np.add.reduceat(g[order], firsts, axis=0) / len(h)
-            self.squares[name][rows] += (total * total).mean(1)
-            p[name][rows] += rate * total / np.sqrt(self.squares[name][rows])[:, None]
-            if name in self.met:
-                self.met[name][rows] += np.diff(np.append(firsts, len(where)))
+            rows = where[order[firsts]]
+            for name, g in of.items():
+                total = np.add.reduceat(g[order], firsts, axis=0) / len(h)
+                self.squares[name][rows] += (total * total).mean(1)
+                p[name][rows] += rate * total / np.sqrt(self.squares[name][rows])[:, None]
+                if name in self.met:
+                    self.met[name][rows] += np.diff(np.append(firsts, len(where)))
         self.squares["C"] += of_c**2
         p["C"] += rate * of_c / np.sqrt(self.squares["C"])
 
@@ -190,6 +193,16 @@ def _classes(own: Classes, known: dict[bytes, int], words: list[bytes]) -> np.nd
     return np.array(found, np.int64)
 
 
+def look_up(words: list[bytes], logs: dict[bytes, float]) -> tuple[np.ndarray, dict[bytes, int]]:
+    """The words' values in ``logs``, 0 where there is none, and how often each word
+    without one occurs. All words are looked up by one map, not by loops."""
+    found = np.fromiter(map(logs.get, words, repeat(-1.0)), float, len(words))
+    rare: dict[bytes, int] = {}
+    for i in np.flatnonzero(found < 0).tolist():
+        rare[words[i]] = rare.get(words[i], 0) + 1
+    return np.maximum(found, 0), rare
+
+
 def train_round(docs: DataFrame, classes: Classes, net: NoiseContrastive, number: int) -> None:
     """Lets tasks go on from ``net`` on their part of the texts ``docs`` (text), each
     token once, and takes the average. Tasks are as many as cores, and some more, so
@@ -353,20 +366,15 @@ def score_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", he
     def run(batches):
         m = shared.value
         known, share = dict(m.classes.of), m.share
+        common = dict(zip(m.common, np.log10(np.array(list(m.common.values()), float) + 1).tolist()))
         for batch in batches:
             n_tokens, n_known, base, own, rare, times = [], [], [], [], [], []
             for value in batch.column(1):
                 words = split(value.as_py())
                 seq = _classes(m.classes, known, words)
-                counted = list(map(m.common.get, words))
-                there = np.array([x is not None for x in counted], bool)
-                logs = np.log10(np.array([x or 0 for x in counted], float) + 1)
-                seen: dict[bytes, int] = {}
-                for word, c in zip(words, counted):
-                    if c is None:
-                        seen[word] = seen.get(word, 0) + 1
+                logs, seen = look_up(words, common)
                 n_tokens.append(len(seq))
-                n_known.append(int(there.sum()) + int(texts > 0))
+                n_known.append(len(words) - sum(seen.values()) + int(texts > 0))
                 # the end was seen as often as texts were learnt from
                 base.append(float(logs.sum()) + log_texts)
                 # words that share a class have their part of it

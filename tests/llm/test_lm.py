@@ -67,6 +67,14 @@ def test_probabilities_add_up(spark, monkeypatch):
     assert all(abs(inside[k] + unseen.get(k, 0) - 1) < 1e-9 for k in range(model.classes.end))
 
 
+def test_words_are_looked_up_in_one_pass():
+    words = b"b a zz b y zz c".split()
+    logs, rare = lm.look_up(words, {b"a": 0.5, b"b": 2.0, b"c": 0.0})
+    assert logs.tolist() == [2.0, 0.5, 0, 2.0, 0, 0, 0] and rare == {b"zz": 2, b"y": 1}
+    logs, rare = lm.look_up([], {b"a": 0.5})
+    assert logs.tolist() == [] and rare == {}
+
+
 def test_training_finds_neighbours():
     h, w = np.array([0, 1, 2, 3] * 64), np.array([1, 0, 3, 2] * 64)
     net = lm.NoiseContrastive(np.ones(4), 8)
