@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from .core import once_per_worker, pick
 
 NONE = -1
+#: Bits of a token in a pair of two.
+SHIFT = 32
 #: How many distinct chunks, pieces of the pattern and pairs of tokens a worker
 #: remembers, and the same where it has other things to hold.
-LIMITS, SMALL_LIMITS = (300_000, 1_000_000, 1_000_000), (200_000, 600_000, 300_000)
+LIMITS, SMALL_LIMITS = (300_000, 1_000_000, 1_000_000), (120_000, 120_000, 300_000)
 #: Rows passed on at a time.
 ROWS = 500
 
@@ -40,17 +42,45 @@ class Vocabulary:
         for word, rank in ranks.items():
             self.bytes_of[rank] = word
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        # by left << SHIFT | right
+        self._fits: dict[int, bool] = {}
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
         self.longest = max(map(len, ranks), default=0)
-        # byte -> (token or NONE, the same for the byte after it)
-        self.trie: dict[int, tuple] = {}
-        for word, rank in sorted(ranks.items(), key=lambda x: -len(x[0])):
-            if self.made(rank):
-                node = self.trie
-                for byte in word[:-1]:
-                    node = node.setdefault(byte, (NONE, {}))[1]
-                node[word[-1]] = (rank, node.get(word[-1], (NONE, {}))[1])
+        self.sizes = list(map(len, self.bytes_of))
+        self._automaton()
+
+    def _automaton(self) -> None:
+        """Aho and Corasick's: a state is the longest end of what was read that begins
+        a token. ``steps`` gives by state << 8 | byte the state after it, if that is one
+        byte longer; ``fail`` the state of the longest shorter end; ``at`` the longest
+        token at a state's end, and ``shorter`` the longest at a token's own end."""
+        steps: dict[int, int] = {}
+        self.steps, self.fail, self.at, self.shorter = steps, [0], [NONE], [NONE] * len(self.bytes_of)
+        before, own = [(0, 0)], [NONE]
+        for word, rank in self.ranks.items():
+            if word and self.made(rank):
+                state = 0
+                for byte in word:
+                    state, come = steps.setdefault(state << 8 | byte, len(own)), state
+                    if state == len(own):
+                        own.append(NONE)
+                        before.append((come, byte))
+                own[state] = rank
+        self.fail, self.at = [0] * len(own), [NONE] * len(own)
+        depth = [0] * len(own)
+        for state in range(1, len(own)):
+            depth[state] = depth[before[state][0]] + 1
+        for state in sorted(range(1, len(own)), key=depth.__getitem__):
+            come, byte = before[state]
+            end = 0
+            while come:
+                come = self.fail[come]
+                end = steps.get(come << 8 | byte, 0)
+                if end:
+                    break
+            self.fail[state], self.at[state] = end, self.at[end]
+            if own[state] >= 0:
+                self.shorter[own[state]], self.at[state] = self.at[end], own[state]
 
     @classmethod
     def load(cls, path: str, borders: int = LIMITS[2]) -> "Vocabulary":
@@ -82,11 +112,11 @@ class Vocabulary:
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE keeps the two side by side: no merge across their border
         has priority over the merges that make them."""
-        known = self._fits.get((left, right))
+        known = self._fits.get(left << SHIFT | right)
         if known is None:
             if len(self._fits) > self.borders:
                 self._fits.clear()
-            known = self._fits[left, right] = self._border_holds(left, right)
+            known = self._fits[left << SHIFT | right] = self._border_holds(left, right)
         return known
 
     def _border_holds(self, left: int, right: int) -> bool:
@@ -116,7 +146,7 @@ class PrefixEncoder:
     """The table of one byte string, with exact appends and local edits."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last = vocabulary, b"", [NONE]
+        self.v, self.data, self.last, self.state = vocabulary, b"", [NONE], 0
         self.append(data)
 
     def _entry(self, end: int) -> int:
@@ -130,34 +160,36 @@ class PrefixEncoder:
         raise ValueError(f"no token ends at byte {end}: the vocabulary lacks a byte")
 
     def append(self, more: bytes) -> None:
-        """Adds bytes; the entries there are stay as they are. From each place the
-        trie of tokens is followed as far as the bytes lead into it."""
-        v, last, old = self.v, self.last, len(self.data)
-        self.data = data = self.data + more
-        last += [NONE] * len(more)
-        known, root = v._fits.get, v.trie
-        for start in range(max(0, old + 1 - v.longest), len(data)):
-            left, end, node = last[start], start, root
-            for byte in data[start : start + v.longest]:
-                found = node.get(byte)
-                if found is None:
+        """Adds bytes; the entries there are stay as they are. Of the tokens that end
+        at a byte, longest first, that is taken which may stand after what is before it."""
+        v, last, state, end = self.v, self.last, self.state, len(self.data)
+        steps, fail, at, shorter, sizes, known = v.steps.get, v.fail, v.at, v.shorter, v.sizes, v._fits.get
+        for byte in more:
+            found = steps(state << 8 | byte)
+            while found is None and state:
+                state = fail[state]
+                found = steps(state << 8 | byte)
+            state, end = found or 0, end + 1
+            token = at[state]
+            while token >= 0:
+                left = last[end - sizes[token]]
+                # none is left of the first token
+                fits = True if left < 0 else known(left << SHIFT | token)
+                if fits is None:
+                    fits = v.fits(left, token)
+                if fits:
                     break
-                end += 1
-                token, node = found
-                if token >= 0 and last[end] < 0 and end > old:
-                    fits = True if start == 0 else known((left, token))
-                    if fits is None:
-                        fits = v.fits(left, token)
-                    if fits:
-                        last[end] = token
-        if NONE in last[1:]:
-            raise ValueError("the vocabulary lacks a byte")
+                token = shorter[token]
+            if token < 0:
+                raise ValueError(f"no token ends at byte {end}: the vocabulary lacks a byte")
+            last.append(token)
+        self.data, self.state = self.data + more, state
 
     def replace(self, start: int, stop: int, new: bytes) -> None:
         """Puts ``new`` in place of bytes start..stop. Entries before the edit
         stay; after it they are redone until as many in a row as the longest
         token has bytes are what they were, from where all later ones are too."""
-        old, kept = self.last, self.data[stop:]
+        old, kept, self.state = self.last, self.data[stop:], 0
         shift = len(new) - (stop - start)
         self.data, self.last = self.data[:start] + new + kept, self.last[: start + 1]
         same = 0
@@ -168,7 +200,11 @@ class PrefixEncoder:
             same = same + 1 if beyond and self.last[end] == old[end - shift] else 0
             if same >= self.v.longest:
                 self.last += old[end - shift + 1 :]
-                return
+                break
+        for byte in self.data[-self.v.longest :] if self.v.longest else b"":  # no state reaches further back
+            while self.state and self.state << 8 | byte not in self.v.steps:
+                self.state = self.v.fail[self.state]
+            self.state = self.v.steps.get(self.state << 8 | byte, 0)
 
     def ids(self) -> list[int]:
         out, end = [], len(self.data)
@@ -196,6 +232,8 @@ class Encoder:
 
     def _pieces(self, text: str) -> bytes:
         found = self.pattern.findall(text)
+        if len(found) == 1:  # the chunk itself is kept
+            return self.pieces.get(found[0]) or self._ids(found[0])
         try:
             return b"".join(map(self.pieces.__getitem__, found))
         except KeyError:
@@ -204,16 +242,19 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            data = piece.encode("utf-8")
-            # tiktoken gives a piece that is a token that token, merged or not
-            whole = self.v.ranks.get(data)
-            ids = self._packed([whole] if whole is not None else PrefixEncoder(self.v, data).ids())
-            if len(data) <= 64:
+            ids = self._ids(piece)
+            if len(piece) <= 64:
                 if len(self.pieces) >= self.most_pieces:
                     self.pieces.clear()
                 self.pieces[piece] = ids
         return ids
 
+    def _ids(self, piece: str) -> bytes:
+        data = piece.encode("utf-8")
+        # tiktoken gives a piece that is a token that token, merged or not
+        whole = self.v.ranks.get(data)
+        return self._packed([whole] if whole is not None else PrefixEncoder(self.v, data).ids())
+
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.unit}", *ids)
 
@@ -226,8 +267,7 @@ class Encoder:
         try:
             out += map(kept.__getitem__, rest)
         except KeyError:
-            del out[1:]
-            for chunk in rest:
+            for chunk in rest[len(out) - 1 :]:  # from the first that is not kept on
                 ids = kept.get(chunk)
                 if ids is None:
                     ids = self._pieces(" " + chunk)

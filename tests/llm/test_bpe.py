@@ -41,6 +41,25 @@ def test_append_and_edit_equal_a_fresh_table():
         assert grown.data == whole and grown.last == bpe.PrefixEncoder(vocabulary, whole).last
 
 
+def test_appends_go_on_after_an_edit():
+    vocabulary = bpe.encoder(PATH, P.PATTERN).v
+    for start in (0, 3, 60, 290):
+        table = bpe.PrefixEncoder(vocabulary, b" the thing and" * 21)
+        table.replace(start, start + 2, b"inher")
+        table.append(b"ing of things")
+        assert table.last == bpe.PrefixEncoder(vocabulary, table.data).last
+
+
+def test_a_worker_with_other_things_to_hold_keeps_little():
+    """130,000 distinct words, each once: their chunks were kept twice, as pieces too."""
+    coder = bpe.Encoder(bpe.encoder(PATH, P.PATTERN).v, P.PATTERN, bpe.SMALL_LIMITS)
+    for at in range(0, 130_000, 1000):
+        words = ["".join("abcdefghij"[int(d)] for d in str(i)) for i in range(at, at + 1000)]
+        assert coder.decode(coder.encode("x " + " ".join(words)).tolist()).decode() == "x " + " ".join(words)
+        assert len(coder.kept) + len(coder.pieces) <= 120_000
+    assert not coder.pieces
+
+
 def test_documents(spark, library):
     long = "thin ing " * 20000 + "a" * 3000
     rows = [(1, "Été the  end\n", "x"), (None, "a", "y"), (2, None, None), (3, "", "z"), (1, "Été the  end\n", "x"), (4, long, "n")]
