@@ -19,6 +19,8 @@ one product of two vectors a token.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -92,11 +94,11 @@ class NoiseContrastive:
         """One step on pairs of a context and the class after it."""
         p = self.p
         k = np.minimum(np.searchsorted(self.words, self.rng.random(noise)), len(self.words) - 1)
-        c = p["R"][h]
-        v, qw, qk = c @ p["C"], p["Q"][w], p["Q"][k]
+        c = p["R"].take(h, 0)
+        v, qw, qk = c @ p["C"], p["Q"].take(w, 0), p["Q"].take(k, 0)
         # probability that a pair is data, of the pairs and of the shared noise
         bias = lambda x: p["b"][x, 0] - self.log_unigram[x] - np.float32(np.log(noise))
-        up = 1 / (1 + np.exp(np.minimum((v * qw).sum(1) + bias(w), 30)))
+        up = 1 / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", v, qw) + bias(w), 30)))
         down = v @ qk.T
         down += bias(k)
         np.negative(down, down)
@@ -113,8 +115,8 @@ class NoiseContrastive:
             firsts = np.flatnonzero(np.diff(where[order], prepend=-1))
             rows = where[order[firsts]]
             for name, g in of.items():
-                total = np.add.reduceat(g[order], firsts, axis=0) / len(h)
-                self.squares[name][rows] += (total * total).mean(1)
+                total = np.add.reduceat(g.take(order, 0), firsts, axis=0) / len(h)
+                self.squares[name][rows] += np.einsum("ij,ij->i", total, total) / total.shape[1]
                 p[name][rows] += rate * total / np.sqrt(self.squares[name][rows])[:, None]
                 if name in self.met:
                     self.met[name][rows] += np.diff(np.append(firsts, len(where)))
@@ -162,13 +164,12 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            counts: dict[bytes, int] = {}
+            counts: Counter[bytes] = Counter()
             for value in batch.column(0):
-                for word in split(value.as_py()):
-                    counts[word] = counts.get(word, 0) + 1
+                counts.update(split(value.as_py()))
                 if len(counts) > 1_000_000:
                     yield rows(counts)
-                    counts = {}
+                    counts = Counter()
             yield rows(counts)
 
     def rows(counts):
@@ -177,20 +178,24 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _classes(own: Classes, known: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    """Classes of the words of a text and of its end."""
-    try:
-        found = list(map(known.__getitem__, words))
-    except KeyError:
-        if len(known) > 600_000:
-            known.clear()
-            known.update(own.of)
-        for word in set(words):
-            if word not in known:
-                known[word] = own.get(word)
-        found = list(map(known.__getitem__, words))
-    found.append(own.end)
-    return np.array(found, np.int64)
+class Known(dict):
+    """Words' values as far as a task remembers them: those of ``fixed``, and of each
+    other word what ``of`` gives, found when the word is first asked for."""
+
+    def __init__(self, fixed: dict[bytes, int], of: Callable[[bytes], int], most: int = 600_000):
+        super().__init__(fixed)
+        self.fixed, self.of, self.most = fixed, of, max(most, len(fixed) + 1)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.fixed)
+        found = self[word] = self.of(word)
+        return found
+
+    def values_of(self, words: list[bytes]) -> np.ndarray:
+        """All words are looked up by one map, not by loops."""
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def look_up(words: list[bytes], logs: dict[bytes, float]) -> tuple[np.ndarray, dict[bytes, int]]:
@@ -203,6 +208,20 @@ def look_up(words: list[bytes], logs: dict[bytes, float]) -> tuple[np.ndarray, d
     return np.maximum(found, 0), rare
 
 
+def classes_and_logs(words: list[bytes], places: dict[bytes, float], class_of: np.ndarray, log_of: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """Classes of the words of a text and of its end, the words' logarithms, and how often
+    each rare word occurs: ``places``, from 1 on, are those of common words in the two
+    arrays, so that a word is looked up once. Rare words are given classes of endings."""
+    found, rare = look_up(words, places)
+    at = found.astype(np.int64)
+    seq = np.append(class_of.take(at), classes.end)
+    if rare:
+        others = np.flatnonzero(at == 0)
+        of = {w: classes.other(w) for w in rare}
+        seq[others] = [of[words[i]] for i in others.tolist()]
+    return seq, log_of.take(at), rare
+
+
 def train_round(docs: DataFrame, classes: Classes, net: NoiseContrastive, number: int) -> None:
     """Lets tasks go on from ``net`` on their part of the texts ``docs`` (text), each
     token once, and takes the average. Tasks are as many as cores, and some more, so
@@ -213,7 +232,7 @@ def train_round(docs: DataFrame, classes: Classes, net: NoiseContrastive, number
     def run(batches):
         own, start = shared.value
         start.begin(1_000_003 * number + TaskContext.get().partitionId())
-        known, held, size = dict(own.of), [], 0
+        known, held, size = Known(own.of, own.other), [], 0
 
         def steps(all_of_them: bool):
             nonlocal held, size
@@ -225,9 +244,11 @@ def train_round(docs: DataFrame, classes: Classes, net: NoiseContrastive, number
 
         for batch in batches:
             for value in batch.column(0):
-                seq = _classes(own, known, split(value.as_py()))
-                held.append(np.stack([np.concatenate([[own.end], seq[:-1]]), seq]))
-                size += len(seq)
+                words = split(value.as_py())
+                pairs = np.full((2, len(words) + 1), own.end)
+                pairs[0, 1:] = pairs[1, :-1] = known.values_of(words)
+                held.append(pairs)
+                size += len(words) + 1
                 if size > 100 * BATCH:
                     steps(False)
         if size:
@@ -293,7 +314,7 @@ class Model:
         for at in range(0, len(seq), 1 << 16):  # long texts piece by piece
             w = seq[at : at + (1 << 16)]
             h = np.concatenate([seq[at - 1 : at] if at else [self.classes.end], w[:-1]])
-            out[at : at + len(w)] = np.einsum("ij,ij->i", self.before[h], self.after[w]) + self.bias[w] - self.sums[h]
+            out[at : at + len(w)] = np.einsum("ij,ij->i", self.before.take(h, 0), self.after.take(w, 0)) + self.bias[w] - self.sums[h]
         return out / LN10
 
 
@@ -365,20 +386,22 @@ def score_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", he
 
     def run(batches):
         m = shared.value
-        known, share = dict(m.classes.of), m.share
-        common = dict(zip(m.common, np.log10(np.array(list(m.common.values()), float) + 1).tolist()))
+        classes, share = m.classes, m.share
+        # every word with a class of its own is common
+        places = {w: i for i, w in enumerate(m.common, 1)}
+        class_of = np.array([0, *map(classes.get, m.common)], np.int64)
+        log_of = np.log10(np.array([0, *m.common.values()], float) + 1)
         for batch in batches:
             n_tokens, n_known, base, own, rare, times = [], [], [], [], [], []
             for value in batch.column(1):
                 words = split(value.as_py())
-                seq = _classes(m.classes, known, words)
-                logs, seen = look_up(words, common)
+                seq, logs, seen = classes_and_logs(words, places, class_of, log_of, classes)
                 n_tokens.append(len(seq))
                 n_known.append(len(words) - sum(seen.values()) + int(texts > 0))
                 # the end was seen as often as texts were learnt from
                 base.append(float(logs.sum()) + log_texts)
                 # words that share a class have their part of it
-                own.append(float(m.logs(seq).sum() - share[seq].sum() + logs[seq[:-1] >= m.classes.first].sum()))
+                own.append(float(m.logs(seq).sum() - share[seq].sum() + logs[seq[:-1] >= classes.first].sum()))
                 rare.append(list(seen))
                 times.append(list(seen.values()))
             columns = [*batch.columns[::2], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]

@@ -123,3 +123,30 @@ def test_empty(spark):
     assert run(spark, []) == []
     only_held = [(k, "a b", 0) for k in range(300) if zlib.crc32(str(k).encode()) % 7 == 2]
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in run(spark, only_held))
+
+
+def test_a_word_is_looked_up_once():
+    """One look-up gives class and count; there were two, and a third in texts with a
+    new word."""
+
+    class Asked(bytes):
+        times = 0
+
+        def __hash__(self):
+            Asked.times += 1
+            return bytes.__hash__(self)
+
+    classes = lm.Classes([b"a", b"b"], 3)
+    places, class_of, log_of = {b"a": 1, b"b": 2, b"c": 3}, np.array([0, 0, 1, classes.get(b"c")]), np.array([0, 0.5, 2.0, 0.25])
+    words = [Asked(x) for x in (b"b", b"a", b"c", b"a")]
+    seq, logs, rare = lm.classes_and_logs(words, places, class_of, log_of, classes)
+    assert (seq.tolist(), logs.tolist(), rare, Asked.times) == ([1, 0, classes.get(b"c"), 0, classes.end], [2.0, 0.5, 0.25, 0.5], {}, 4)
+    seq, logs, rare = lm.classes_and_logs([b"new", b"a", b"new"], places, class_of, log_of, classes)
+    assert (seq.tolist(), logs.tolist(), rare) == ([classes.get(b"new"), 0, classes.get(b"new"), classes.end], [0, 0.5, 0], {b"new": 2})
+    assert lm.classes_and_logs([], {}, class_of[:1], log_of[:1], classes)[0].tolist() == [classes.end]
+
+
+def test_what_a_task_remembers_is_bounded():
+    known = lm.Known({b"a": 7}, len, 3)
+    assert known.values_of([b"a", b"bb", b"ccc", b"bb", b"dddd", b"a"]).tolist() == [7, 2, 3, 2, 4, 7]
+    assert dict(known) == {b"a": 7, b"dddd": 4}
