@@ -10,8 +10,6 @@ these sums, and only what is still too large there is looked at more deeply.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +23,8 @@ LIMIT_BYTES = 256 << 10
 MORE = 4
 #: A directory of at most so many rows is broadcast.
 SMALL = 200_000
+#: Prefixes, if all occur, that one task writes at least.
+PREFIXES = 500
 
 
 def bits(text: F.Column) -> F.Column:
@@ -32,36 +32,38 @@ def bits(text: F.Column) -> F.Column:
     return F.lpad(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 2), BITS, "0")
 
 
-def directory(rows: DataFrame, limit: int) -> DataFrame:
-    """``rows`` (path, bytes) -> staged table of fine prefixes: round depth,
-    fine prefix, shard (the prefix of its shard), bytes, docs and over_limit of
-    the shard."""
+def directory(rows: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
+    """``rows`` (path, bytes) -> for each round its depth and the table of its fine
+    prefixes that have a shard: fine, and ``at``: the shard's prefix, bytes, docs."""
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     base, depth = 0, min(2 * BITS, max(0, (total // limit).bit_length()) + MORE)
-    parts, inside = [], rows
+    parts, inside, over = [], rows, 1
     while True:
+        # a table of few prefixes is not written as a file for each shuffle partition
+        tasks = -(-min(over << (depth - max(0, base - 1)), 1 << 30) // PREFIXES)
         sums = inside.groupBy(F.substring("path", 1, depth).alias("fine")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs"))
-        sums = stage(sums, "sums")
+        sums = stage(sums.coalesce(tasks), "sums")
         nodes = sums.select(F.explode(F.sequence(F.lit(base), F.lit(depth))).alias("d"), "fine", "bytes", "docs")
         nodes = nodes.groupBy("d", F.expr("substring(fine, 1, d)").alias("shard")).agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"))
         last = depth == 2 * BITS
-        fits = (F.col("bytes") <= limit) | ((F.col("d") == depth) if last else F.lit(False))
+        fitting = nodes.where((F.col("bytes") <= limit) | ((F.col("d") == depth) if last else F.lit(False)))
+        # above the first depth where something fits, all fine prefixes would meet at a few keys
+        least = fitting.agg(F.coalesce(F.min("d"), F.lit(depth))).first()[0]
         # the shard of a fine prefix is the shortest of its prefixes that fits
-        chosen = (
-            sums.select("fine", F.explode(F.sequence(F.lit(base), F.lit(depth))).alias("d"))
+        found = (
+            sums.select("fine", F.explode(F.sequence(F.lit(least), F.lit(depth))).alias("d"))
             .withColumn("shard", F.expr("substring(fine, 1, d)"))
-            .join(nodes.where(fits), ["d", "shard"])
+            .join(fitting.select("d", "shard", F.struct("shard", "bytes", "docs").alias("at")), ["d", "shard"], "left")
             .groupBy("fine")
-            .agg(F.min_by(F.struct("shard", "bytes", "docs"), "d").alias("s"))
-            .select(F.lit(depth).alias("depth"), "fine", "s.shard", "s.bytes", "s.docs", (F.col("s.bytes") > limit).alias("over_limit"))
+            .agg(F.min_by("at", F.when(F.col("at").isNotNull(), F.col("d"))).alias("at"))
         )
-        chosen = stage(chosen, "directory")
-        parts.append(chosen)
-        over = stage(sums.join(chosen, "fine", "left_anti").select("fine"), "over")
-        if last or over.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        over, _ = broadcast_if_small(over, SMALL)
-        inside = rows.join(over, F.substring(rows["path"], 1, depth) == over["fine"], "left_semi")
+        found = stage(found.coalesce(tasks), "directory")
+        parts.append((depth, found.where("at IS NOT NULL")))
+        left = found.where("at IS NULL").select("fine")
+        over = left.count()
+        if last or not over:
+            return parts
+        inside = rows.join(F.broadcast(left) if over <= SMALL else left, F.substring(rows["path"], 1, depth) == left["fine"], "left_semi")
         base, depth = depth + 1, min(2 * BITS, depth + 2 * MORE)
 
 
@@ -79,16 +81,14 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES, *, key: str = "doc_id", te
     """
     source = pick(docs, key=key, text=text)
     rows = source.select("key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"), F.concat(bits(F.coalesce(F.col("key").cast("string"), F.lit(""))), bits(F.coalesce("text", F.lit("")))).alias("path"), *(["text"] if keep_text else []))
-    found = directory(rows.select("path", "bytes"), limit)
-    out, depths = [], sorted(r.depth for r in found.select("depth").distinct().collect())
-    left = rows
-    for depth in depths:  # one, and one more for each round that some prefix needed
-        part, _ = broadcast_if_small(found.where(F.col("depth") == depth).select("fine", "shard", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"), "over_limit"), SMALL)
-        joined = left.withColumn("fine", F.substring("path", 1, depth)).join(part, "fine", "left").drop("fine")
-        out.append(joined.where(F.col("shard").isNotNull()))
-        left = joined.where(F.col("shard").isNull()).drop("shard", "shard_bytes", "shard_docs", "over_limit")
-    placed = reduce(DataFrame.unionByName, out) if out else rows.limit(0).selectExpr("*", "'' AS shard", "0L AS shard_bytes", "0L AS shard_docs", "false AS over_limit")
-    return placed.select(F.col("key").alias(key), F.col("bytes").alias("n_bytes"), "shard", F.length("shard").cast("bigint").alias("depth"), "shard_docs", "shard_bytes", "over_limit", *([F.col("text").alias(text)] if keep_text else []))
+    placed, places = rows, []
+    for depth, part in directory(rows.select("path", "bytes"), limit):  # a row is in one round's table; all are looked up in one pass
+        part, _ = broadcast_if_small(part.select(F.col("fine").alias(f"fine{depth}"), F.col("at").alias(f"at{depth}")), SMALL)
+        placed = placed.join(part, F.substring("path", 1, depth) == F.col(f"fine{depth}"), "left").drop(f"fine{depth}")
+        places.append(f"at{depth}")
+    placed = placed.withColumn("at", F.coalesce(*places))
+    shard, size = F.col("at.shard"), F.col("at.bytes")
+    return placed.select(F.col("key").alias(key), F.col("bytes").alias("n_bytes"), shard.alias("shard"), F.length(shard).cast("bigint").alias("depth"), F.col("at.docs").alias("shard_docs"), size.alias("shard_bytes"), (size > limit).alias("over_limit"), *([F.col("text").alias(text)] if keep_text else []))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, *, key: str = "doc_id", text: str = "text") -> None:

@@ -1,10 +1,12 @@
 import hashlib
 import random
 from collections import defaultdict
+from glob import glob
 
 import duckdb
 
 from postflock.llm import sharding
+from postflock.sources import staging
 
 
 def path(key, text):
@@ -59,3 +61,24 @@ def test_sql(spark, tmp_path):
     got = sharding.assign(docs, 100).select("doc_id", "n_bytes", "shard", "depth", "shard_docs", "shard_bytes", "over_limit").collect()
     order = lambda x: (x[0] is None, x[0] or 0)
     assert sorted(map(tuple, got), key=order) == sorted(want, key=order) and len({x[2] for x in want}) > 3
+
+
+def test_one_pass_and_few_files(spark):
+    """Several rounds give no further pass over the rows, and small tables few files."""
+    rows = [(i, "x" * 50) for i in range(500)] + [(7, f"hot {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    made = len(staging._made)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = sharding.assign(docs, 300)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tables = [path[7:] for _, path in staging._made[made:]]
+    assert len(tables) > 4 and out.rdd.getNumPartitions() == 7
+    assert all(len(glob(f"{x}/*.parquet")) <= 60 // 2 for x in tables)
+    got = sorted((r.doc_id, r.n_bytes, r.shard, r.depth, r.shard_docs, r.shard_bytes, r.over_limit) for r in out.collect())
+    assert got == brute(rows, 300)
