@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 
@@ -38,13 +37,19 @@ CACHE = 700_000
 #: Bytes of text encoded at a time.
 SLICE = 24_000_000
 
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,:;!?]*)").fullmatch
+#: Words that are one piece each, and what may stand after one as a second piece.
+WORD, STOPS = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+$", ".,:;!?"
 #: A space before white space of any kind, or at the end.
 SPACED = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 #: Stands before the first chunk of a text; texts that have it are encoded whole.
 FIRST = "\x00"
 
 
+def _objects(values: pa.Array) -> list:
+    """What ``to_pylist`` gives, without an Arrow scalar for each."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class Library:
     """The tokenizers library behind a cache of chunks.
 
@@ -101,18 +106,15 @@ class Library:
         drawn = " ".join(["\u0120" + x if x.isascii() else (" " + x).encode().decode("latin-1").translate(self.drawn) for x in run])
         return self.words.encode_batch_fast([drawn], add_special_tokens=False)[0].ids
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: pa.Array) -> None:
         """A word with stops after it is two pieces; others are left to the library."""
         kept, older, tailed, words, others = self.kept, self.older, [], [], []
-        for chunk in new:
-            if chunk.isascii() and chunk.isalpha():
-                words.append(chunk)
-                continue
-            found = PLAIN(chunk)
-            if not found:
+        bare = pc.utf8_rtrim(new, STOPS)
+        for chunk, word, plain in zip(_objects(new), _objects(bare), _objects(pc.match_substring_regex(bare, WORD))):
+            if not plain:
                 others.append(chunk)
-            elif found[2]:
-                tailed.append(found)
+            elif len(word) < len(chunk):
+                tailed.append((chunk, word, chunk[len(word) :]))
             else:
                 words.append(chunk)
         stems = {x[1] for x in tailed if x[1] not in kept}
@@ -122,8 +124,8 @@ class Library:
         kept.update(zip(words, self._runs(words, self._word_run)))
         tails = {x[2] for x in tailed}
         tails = dict(zip(tails, self._encode(list(tails))))
-        for found in tailed:
-            kept[found[0]] = kept[found[1]] + tails[found[2]]
+        for chunk, word, tail in tailed:
+            kept[chunk] = kept[word] + tails[tail]
         kept.update(zip(others, self._runs(others, self._any_run)))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -138,10 +140,12 @@ class Library:
         for i, ids in zip(odd, self._encode(texts.take(pa.array(odd)).to_pylist())):
             out[i] = ids
         plain = np.flatnonzero(~whole)
+        if not len(plain):
+            return out
         # the first chunk, which has no space before it, is marked
         cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(""), texts.take(pa.array(plain)), FIRST), " ")
         numbered = cut.values.dictionary_encode()
-        chunks = numbered.dictionary.to_pylist()
+        chunks = _objects(numbered.dictionary)
         if len(self.kept) > CACHE:
             self.kept, self.older = {}, self.kept
         found = list(map(self.kept.get, chunks))
@@ -158,23 +162,15 @@ class Library:
                     new.append(i)
         for i, ids in zip(firsts, self._encode([chunks[i][1:] for i in firsts])):
             found[i] = ids
-        self._learn([chunks[i] for i in new])
+        self._learn(numbered.dictionary.take(pa.array(new, pa.int64())))
         for i in new:
             found[i] = self.kept[chunks[i]]
-        step = np.dtype(self.wide).itemsize
-        size = np.fromiter(map(len, found), np.int64, len(found)) // step
-        ids, start = np.frombuffer(b"".join(found), self.wide), np.cumsum(size) - size
-        at = numbered.indices.to_numpy()
-        ends = np.cumsum(size[at])
-        copied = np.empty(ends[-1] if len(ends) else 0, self.wide)
-        for low in range(0, len(at), 1 << 20):  # bounded index arrays
-            part = at[low : low + (1 << 20)]
-            first, until = ends[low] - size[at[low]], ends[min(low + (1 << 20), len(at)) - 1]
-            copied[first:until] = ids[np.repeat(start[part] - ends[low : low + (1 << 20)] + size[part], size[part]) + np.arange(first, until)]
-        last = np.concatenate([[0], ends])[cut.offsets.to_numpy()]
-        data = copied.tobytes()
-        for i, begin, end in zip(plain.tolist(), (step * last[:-1]).tolist(), (step * last[1:]).tolist()):
-            out[i] = data[begin:end]
+        copied = pa.array(found, pa.large_binary()).take(numbered.indices)
+        _, ends, data = copied.buffers()
+        last = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        for i, begin, end in zip(plain.tolist(), last, last[1:]):
+            out[i] = bytes(data[begin:end])
         return out
 
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -59,3 +60,16 @@ def test_corpus(spark, as_text):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tokenfile.read_files(tokenfile.write_corpus(docs, PATH, 2)).count() == 0
+
+
+def test_learnt_words_and_stops():
+    """Chunks are sorted into words, words with stops and others on whole arrays."""
+    coder = tokenfile.Library(PATH)
+    chunks = ["thin", "thin,", "on?!", "été", "étés.", "a.b", "...", "", "x1", "x\n", "x.\n", "ÿ:", "×", "÷.", "ɏ;", "ɐ", "日本.", "été", "é", "don't", "a\x00", "thin.,"]
+    coder._learn(pa.array(chunks))
+    model = Tokenizer.from_file(PATH)
+    for chunk in chunks:
+        assert np.frombuffer(coder.kept[chunk], coder.wide).tolist() == model.encode(" " + chunk, add_special_tokens=False).ids
+    assert tokenfile._objects(pa.array(chunks)) == chunks and tokenfile._objects(pa.array([], pa.string())) == []
+    assert coder.encode(pa.array(["", ""])) == [b"", b""] and coder.encode(pa.array([], pa.string())) == []
+    assert coder.encode(pa.array(["a  b"])) == coder._encode(["a  b"])
